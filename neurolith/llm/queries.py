@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from neurolith.llm import lookalike, mixing, packing, pieces, splits
+from neurolith.llm import lookalike, mixing, packing, pieces, splits, survivors
 from neurolith.session import table
 
 
@@ -22,6 +22,14 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_epochs(*_tables(spark, d, "recordings", "epochs", "subject_links", "experiments"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.same_work_pairs(table(spark, d, "candidates"))
+
+
+def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.survivors(*_tables(spark, d, "candidates", "paper_sources"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that the splitter had to cut."""
     stored = pieces.stored_chunks(*_tables(spark, d, "chunks", "kb_documents", "chunk_limits"))
@@ -77,7 +85,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p2_found, p2_splits, p5_found, p5_pieces, p5_sizes, p6_containers, p6_harmonic, p6_fill, p7_draw, p7_shares, p8_found, p8_forms)
+    names = (p2_found, p2_splits, p4_found, p4_survivors, p5_found, p5_pieces, p5_sizes, p6_containers, p6_harmonic, p6_fill, p7_draw, p7_shares, p8_found, p8_forms)
     return {f.__name__: f for f in names}
 
 
