@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from neurolith.llm import lookalike, mixing, packing, pieces, splits, survivors
+from neurolith.llm import encoding, lookalike, mixing, packing, pieces, splits, survivors
 from neurolith.session import table
 
 
@@ -14,6 +14,14 @@ def _tables(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
     return [table(spark, d, n) for n in names]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled(encoding.texts_of(*_tables(spark, d, "chunks", "paper_materials"))).select("table_name", "record_id").distinct()
+
+
+def p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled(encoding.texts_of(*_tables(spark, d, "chunks", "paper_materials")))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.tied_epochs(*_tables(spark, d, "recordings", "epochs", "subject_links"))
 
@@ -85,7 +93,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p2_found, p2_splits, p4_found, p4_survivors, p5_found, p5_pieces, p5_sizes, p6_containers, p6_harmonic, p6_fill, p7_draw, p7_shares, p8_found, p8_forms)
+    names = (p1_found, p1_restored, p2_found, p2_splits, p4_found, p4_survivors, p5_found, p5_pieces, p5_sizes, p6_containers, p6_harmonic, p6_fill, p7_draw, p7_shares, p8_found, p8_forms)
     return {f.__name__: f for f in names}
 
 
