@@ -43,3 +43,23 @@ def running_total(df: DataFrame, keys: list[str], position: str, value: str, nam
     inner = Window.partitionBy(*keys, "_s").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
     return d.join(sums, [*keys, "_s"]).select(*cols, (F.col("_base") + F.col("_in")).alias(name))
+
+
+def previous_value(df: DataFrame, keys: list[str], position: str, value: str, name: str, width: int = 4096) -> DataFrame:
+    """Adds the value of the position before within ``keys`` (null for the first), in two levels like ``running_total``."""
+    cols = df.columns
+    d = df.withColumn("_s", F.floor(F.col(position) / width))
+    lasts = d.groupBy(*keys, "_s").agg(F.max_by(value, position).alias("_last"))
+    lasts = lasts.select(*keys, "_s", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_s")).alias("_before"))
+    d = d.withColumn("_in", F.lag(value).over(Window.partitionBy(*keys, "_s").orderBy(position)))
+    return d.join(lasts, [*keys, "_s"]).select(*cols, F.coalesce("_in", "_before").alias(name))
+
+
+def within(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, width: int = 256) -> DataFrame:
+    """Points joined to the spans that hold them: equal ``key`` and start <= at < end.
+
+    Spans are cut into stretches of ``width``, so that the join is on equal keys and only compares neighbours.
+    """
+    s = spans.filter(F.col(end) > F.col(start)).withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
+    p = points.withColumn("_b", F.floor(F.col(at) / width))
+    return p.join(s, [key, "_b"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_b")
