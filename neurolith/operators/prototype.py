@@ -50,8 +50,8 @@ def _long(rows: DataFrame) -> DataFrame:
 def train_moments(rows: DataFrame) -> DataFrame:
     """(fold, f, n, mean, sd) over each fold's training rows; a standard deviation of 0 counts as 1."""
     part = _long(rows).groupBy("fold", "f").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    all_ = part.groupBy("f").agg(F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("q").alias("Q"))
-    m = part.join(all_, "f").filter("N > n").select("fold", "f", (F.col("N") - F.col("n")).alias("n"), (F.col("S") - F.col("s")).alias("s"), (F.col("Q") - F.col("q")).alias("q"))
+    all_ = part.groupBy("f").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.sum("q").alias("all_q"))
+    m = part.join(all_, "f").filter("all_n > n").select("fold", "f", (F.col("all_n") - F.col("n")).alias("n"), (F.col("all_s") - F.col("s")).alias("s"), (F.col("all_q") - F.col("q")).alias("q"))
     m = m.withColumn("mean", F.col("s") / F.col("n"))
     sd = F.sqrt(F.greatest(F.col("q") / F.col("n") - F.col("mean") * F.col("mean"), F.lit(0.0)))
     return m.select("fold", "f", "n", "mean", F.when(sd < 1e-12, 1.0).otherwise(sd).alias("sd"))
@@ -60,10 +60,10 @@ def train_moments(rows: DataFrame) -> DataFrame:
 def centroids(rows: DataFrame) -> DataFrame:
     """(fold, label, f, c): mean of the standardised training rows of each class."""
     part = _long(rows).groupBy("fold", "label", "f").agg(F.count("v").alias("n"), F.sum("v").alias("s"))
-    all_ = part.groupBy("label", "f").agg(F.sum("n").alias("N"), F.sum("s").alias("S"))
+    all_ = part.groupBy("label", "f").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
     m = train_moments(rows)
     x = m.select("fold", "f", "mean", "sd").join(all_, "f").join(part, ["fold", "label", "f"], "left")
-    n, s = F.col("N") - F.coalesce("n", F.lit(0)), F.col("S") - F.coalesce("s", F.lit(0.0))
+    n, s = F.col("all_n") - F.coalesce("n", F.lit(0)), F.col("all_s") - F.coalesce("s", F.lit(0.0))
     return x.filter(n > 0).select("fold", "label", "f", ((s / n - F.col("mean")) / F.col("sd")).alias("c"))
 
 
@@ -104,8 +104,9 @@ def confusion(pred: DataFrame) -> DataFrame:
 
 def class_metrics(pred: DataFrame) -> DataFrame:
     """(class, precision, recall, f1), denominators at least 1 (1e-8 for f1)."""
-    sides = pred.select(F.explode(F.array(F.struct(F.col("label").alias("c"), F.lit(1).alias("is"), F.lit(0).alias("said"), (F.col("label") == F.col("prediction")).cast("int").alias("tp")), F.struct(F.col("prediction"), F.lit(0), F.lit(1), F.lit(0)))).alias("x"))
-    g = sides.groupBy(F.col("x.c").alias("class")).agg(F.sum("x.tp").alias("tp"), F.sum("x.is").alias("n"), F.sum("x.said").alias("m"))
+    side = lambda c, real, said, tp: F.struct(F.col(c).alias("c"), F.lit(real).alias("real"), F.lit(said).alias("said"), tp.alias("tp"))
+    sides = pred.select(F.explode(F.array(side("label", 1, 0, F.coalesce((F.col("label") == F.col("prediction")).cast("int"), F.lit(0))), side("prediction", 0, 1, F.lit(0)))).alias("x"))
+    g = sides.groupBy(F.col("x.c").alias("class")).agg(F.sum("x.tp").alias("tp"), F.sum("x.real").alias("n"), F.sum("x.said").alias("m"))
     g = g.select("class", (F.col("tp") / F.greatest("m", F.lit(1))).alias("precision"), (F.col("tp") / F.greatest("n", F.lit(1))).alias("recall"))
     return g.withColumn("f1", 2 * F.col("precision") * F.col("recall") / F.greatest(F.col("precision") + F.col("recall"), F.lit(1e-8)))
 

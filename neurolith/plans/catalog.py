@@ -6,23 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from neurolith.operators.anomalies import flag_samples
-from neurolith.session import table
+from neurolith.plans import model_queries, signal_queries, table_queries, text_queries
 
-
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Implausible samples of all channels."""
-    found = flag_samples(table(spark, sf_dir, "signal_long"), table(spark, sf_dir, "recordings"), table(spark, sf_dir, "devices"))
-    return found.select("recording_id", "channel_idx", "t")
+PARTS = (signal_queries, model_queries, text_queries, table_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_found(spark, sf_dir)
+    """Leave-one-group-out confusion matrix of the prototype classifier."""
+    return model_queries.confusion_matrix(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found}
+    return {k: f for part in PARTS for k, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for part in PARTS for k, s in part.SQL.items()}
