@@ -26,7 +26,7 @@ def windows(epochs: DataFrame, heads: DataFrame, tmin: float, tmax: float) -> Da
     if tmax <= tmin:
         raise ValueError("tmax must be above tmin")
     h = heads.filter("sampling_rate > 0 and n_samples is not null").select("recording_id", "sampling_rate", "n_samples")
-    e = epochs.filter("onset is not null").join(h, "recording_id")
+    e = epochs.select("epoch_id", "recording_id", "event_idx", "subject", "label", "onset").filter("onset is not null").join(h, "recording_id")
     start, end = F.col("onset") + half_even(F.col("sampling_rate") * tmin), F.col("onset") + half_even(F.col("sampling_rate") * tmax)
     e = e.withColumn("start", start).withColumn("end", end).filter("start >= 0 and end <= n_samples and end > start")
     return e.select("epoch_id", "recording_id", "event_idx", "subject", "label", "onset", "start", "end", "sampling_rate", "n_samples")
