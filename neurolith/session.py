@@ -23,6 +23,18 @@ def build_session(app: str = "neurolith", cpus: str | None = None) -> SparkSessi
     )
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets the Python workers import this package from where the driver has it (a path that all machines share).
+
+    Where they don't share it, ship the package with ``--py-files``; it is then found first.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet table of a directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
