@@ -41,11 +41,67 @@ def hash_embedding(docs: DataFrame, id_col: str, text_col: str, dim: int = 4096)
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter("t is not null and i is not null").mapInPandas(run, f"{id_col} {kind}, bucket int, weight double")
 
 
-def sparse_search(index: DataFrame, queries: DataFrame, id_col: str, query_col: str, k: int = 4) -> DataFrame:
-    """(query, id, score, rn) by dot products of sparse vectors: an equi join on the bucket, summed up."""
-    s = index.join(queries, "bucket").groupBy(query_col, id_col).agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
-    w = Window.partitionBy(query_col).orderBy(F.desc("score"), F.desc(id_col))
-    return s.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= max(k, 1))
+def _best(scores: np.ndarray, ids: np.ndarray, best_s: np.ndarray, best_i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of the rows so far and new ones, ties by the larger id."""
+    s = np.hstack([best_s, scores])
+    i = np.hstack([best_i, np.broadcast_to(ids, (s.shape[0], ids.size))])
+    order = np.lexsort((i, s), axis=1)[:, ::-1][:, :k]
+    return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+
+
+def hash_search(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k: int = 4, dim: int = 4096, block: int = 1024) -> DataFrame:
+    """(query_id, id, score, rn): the k best texts for each query text by hash embeddings, exactly.
+
+    Like ``top_k``, with the queries in blocks and k rows per query and partition; the texts' vectors exist only while they
+    are scored. Blank queries and texts have no hits. The best hit counts whatever its score, others only above 0.
+    """
+    k, dim = max(k, 1), max(dim, 64)
+    named = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
+    asked = queries.filter(F.col(query_text).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).cast("string").alias("q"), F.col(query_text).alias("t"))
+
+    def score(names: list[str], matrix: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best_s, best_i = np.full((len(names), 0), -np.inf), np.zeros((len(names), 0), object)
+            for b in batches:
+                got, cols = [], []
+                for i, t in zip(b.column("id").to_pylist(), b.column("t").to_pylist(), strict=True):
+                    v = hash_counts(t, dim)
+                    if v:
+                        got.append(i)
+                        cols.append(matrix[:, list(v)] @ np.fromiter(v.values(), float))
+                if got:
+                    best_s, best_i = _best(np.stack(cols, 1), np.array(got, object), best_s, best_i, k)
+            n = best_s.shape[1]
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n).tolist()), pa.array(best_i.ravel().tolist()), pa.array(best_s.ravel())], names=["query_id", "id", "score"])
+
+        return run
+
+    out = None
+    rows: list = []
+
+    def flush() -> None:
+        nonlocal out, rows
+        vectors = [(r["q"], hash_counts(r["t"], dim)) for r in rows]
+        vectors = [(q, v) for q, v in vectors if v]
+        rows = []
+        if not vectors:
+            return
+        m = np.zeros((len(vectors), dim))
+        for j, (_, v) in enumerate(vectors):
+            m[j, list(v)] = list(v.values())
+        got = named.mapInArrow(score([q for q, _ in vectors], m), "query_id string, id string, score double")
+        out = got if out is None else out.unionByName(got)
+
+    for r in asked.toLocalIterator():
+        rows.append(r)
+        if len(rows) == block:
+            flush()
+    flush()
+    if out is None:
+        return docs.sparkSession.createDataFrame([], "query_id string, id string, score double, rn int")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("id"))
+    return out.withColumn("rn", F.row_number().over(w)).filter((F.col("rn") <= k) & ((F.col("score") > 0) | (F.col("rn") == 1)))
 
 
 def l2_norm(e: Column) -> Column:

@@ -40,12 +40,19 @@ def test_hash_counts_by_definition():
     assert rt.hash_counts("  ", 64) == {}
 
 
-def test_sparse_search_finds_the_text_itself(spark):
-    df = spark.createDataFrame([("a", "wavelet cleaning of signals"), ("b", "something else entirely"), ("c", None)], "id string, t string")
-    index = rt.hash_embedding(df, "id", "t", 512)
-    q = rt.hash_embedding(df.filter("id = 'a'").select(F.col("id").alias("q"), "t"), "q", "t", 512).withColumnRenamed("weight", "q_weight")
-    best = rt.sparse_search(index, q, "id", "q", 1).collect()[0]
-    assert best.id == "a" and best.score == pytest.approx(1)
+def test_hash_search_equals_brute_force(spark):
+    texts = [f"run {i % 7} of the wavelet cleaning {'left' if i % 2 else 'right'} strip {i % 5}" for i in range(40)] + ["", None]
+    df = spark.createDataFrame([(f"c{i:02d}", t) for i, t in enumerate(texts)], "id string, t string").repartition(3)
+    q = spark.createDataFrame([(1, "cleaning of the left strip"), (2, " "), (3, None), (4, "run 3 wavelet")], "q int, s string")
+    got = rt.hash_search(df, q, "id", "t", "q", "s", 3, 512, block=1).toPandas()
+    assert set(got["query_id"]) == {"1", "4"}
+    for i, text in ((1, "cleaning of the left strip"), (4, "run 3 wavelet")):
+        a = rt.hash_counts(text, 512)
+        score = lambda t: sum(a.get(b, 0) * w for b, w in rt.hash_counts(t, 512).items())  # noqa: B023, E731
+        want = sorted(((round(score(t), 9), f"c{n:02d}") for n, t in enumerate(texts) if t), reverse=True)[:3]
+        g = got[got["query_id"] == str(i)].sort_values("rn")
+        assert [round(s, 9) for s in g["score"]] == [s for s, _ in want]
+    assert rt.hash_search(df.limit(0), q, "id", "t", "q", "s").count() == 0
 
 
 def test_upsert_is_idempotent_and_carries_flags(spark):
