@@ -2,9 +2,9 @@
 
 A swap of code pages is a substitution cipher: every byte of the true encoding is shown as another encoding's character.
 Which swap took place is unknown and differs by source. The swaps' weights per source and the language's bigrams are
-learned together by expectation-maximization: given the bigrams, every run of non-ASCII characters has a probability for
-each swap (expectation); given those, weights and bigrams are counted anew, now of the restored runs (maximization).
-Restoring translates the runs of a record by the swap that wins there.
+learned together by expectation-maximization: given the bigrams, the runs of non-ASCII characters of a record speak for or
+against each swap (expectation); given those, weights and bigrams are counted anew, now of the restored runs
+(maximization). Restoring translates the runs of a record by the swap that wins there.
 
 What travels to the driver is bounded by the alphabet (bigrams of folded symbols) and by sources x swaps.
 """
@@ -22,7 +22,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neurolith.functions.distributed import cut_lineage
 
 # Encodings that texts are written in or taken for.
 SINGLE = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp866", "mac_roman", "koi8_r", "iso8859_5")
@@ -35,21 +34,25 @@ LOST = "�"
 #: Characters of no sound text: lost, private or control ones (the NULs of UTF-16 among them).
 BROKEN = re.compile(r"[�\x00-\x08\x0e-\x1a\x1c-\x1f\x7f-\x84\x86-\x9f\ue000-\uf8ff]")
 NOT_SOUND = re.compile(r"[�\x00-\x08\x0e-\x1a\x1c-\x1f\ue000-\uf8ff]")
+SOUND_ASCII = r"^[\t\n\f\r\x20-\x7e]*$"
 #: Taken off every count, so that a run seen once doesn't speak for itself.
 DISCOUNT = 0.9
 
 
 @lru_cache(maxsize=None)
 def to_bytes(codec: str) -> dict[int, int]:
-    """Character to byte of a single-byte encoding; bytes it leaves undefined stand for the C1 controls."""
+    """Character to byte of a single-byte encoding; bytes it leaves undefined stand for the C1 controls.
+
+    cp1252 also takes the controls that Latin-1 shows."""
     table = {}
     for b in range(0x80, 0x100):
         try:
             table[ord(bytes([b]).decode(codec))] = b
         except UnicodeDecodeError:
             table[b] = b
-    for b in range(0x80, 0xA0):  # a C1 control that the encoding doesn't use otherwise
-        table.setdefault(b, b)
+    if codec == "cp1252":
+        for b in range(0x80, 0xA0):
+            table.setdefault(b, b)
     return table
 
 
@@ -241,12 +244,12 @@ def apart(text: str, a: int, b: int) -> bool:
     return (a == 0 or bool(QUOTE_AROUND.match(text[a - 1]))) and (b == len(text) or bool(QUOTE_AROUND.match(text[b])))
 
 
-COUNTS = "kind string, source string, before string, run string, after string, a bigint, b bigint, n double"
-COLUMNS = ["kind", "source", "before", "run", "after", "a", "b", "n"]
+COUNTS = "kind string, source string, a bigint, b bigint, n double"
+COLUMNS = ["kind", "source", "a", "b", "n"]
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Symbols, bigrams with a non-ASCII symbol, Han characters, and the runs with their neighbours.
+    """Symbols, bigrams with a non-ASCII symbol, and Han characters.
 
     Texts with characters of no sound text are left out, and so are signs that stand apart (often quoted garble)."""
     table = fold_table()
@@ -254,8 +257,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         single: Counter = Counter()
         pair: Counter = Counter()
         han: Counter = Counter()
-        runs: Counter = Counter()
-        for source, text in zip(b["source"], b["text"], strict=True):
+        for text in b["text"]:
             if BROKEN.search(text):  # surely garbled: nothing to learn the language from
                 continue
             cp = np.frombuffer(("\n" + text + "\n").encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
@@ -274,109 +276,24 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     shown = [fold(ord(c)) for c in text[s - 1 : e + 1]] if s and e < len(text) else []
                     pair.subtract(x << 21 | y for x, y in zip(shown[:-1], shown[1:], strict=True))
                     single.subtract(shown[1:-1])
-                    continue
-                runs[source, text[s - 1] if s else "\n", text[s:e], text[e] if e < len(text) else "\n"] += 1
-        rows = [("single", None, None, None, None, k, 0, n) for k, n in single.items()]
-        rows += [("pair", None, None, None, None, k >> 21, k & 0x1FFFFF, n) for k, n in pair.items()]
-        rows += [("han", None, None, None, None, k, 0, n) for k, n in han.items()]
-        rows += [("run", s, x, r, y, 0, 0, n) for (s, x, r, y), n in runs.items()]
+        rows = [("single", None, k, 0, n) for k, n in single.items()]
+        rows += [("pair", None, k >> 21, k & 0x1FFFFF, n) for k, n in pair.items()]
+        rows += [("han", None, k, 0, n) for k, n in han.items()]
         yield pd.DataFrame(rows, columns=COLUMNS).astype({"n": float})
 
 
-def _expect(language: Language, weights: dict[str, dict[int, float]], other: dict[int, float]):
-    """Expectation over distinct runs: expected uses of each swap by source, and the change of the bigrams."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            uses: Counter = Counter()
-            pair: Counter = Counter()
-            single: Counter = Counter()
-            han: Counter = Counter()
-
-            def add(before: str, text: str, after: str, n: float) -> None:
-                s = [ord(before), *map(ord, text), ord(after)]
-                f = [fold(c) for c in s]
-                for x, y in zip(f[:-1], f[1:], strict=True):
-                    pair[x, y] += n
-                for c, x in zip(s[1:-1], f[1:-1], strict=True):
-                    single[x] += n
-                    if x == 0x4E00:
-                        han[c] += n
-
-            for source, before, text, after, n in zip(b["source"], b["before"], b["run"], b["after"], b["n"], strict=True):
-                w = weights.get(source, other)
-                found = gains(language, w, before, text, after)
-                if not found:
-                    continue
-                odds = {k: math.exp(min(60.0, g)) * w[k] for k, (g, _) in found.items()}
-                whole = 1.0 + sum(odds.values())
-                moved, by_text = 0.0, Counter()
-                for k, o in odds.items():
-                    by_text[found[k][1]] += o / whole
-                for k, o in odds.items():
-                    p = o / whole
-                    if by_text[found[k][1]] > (0.04 if SWAPS[k][1] == "utf_8" else 0.2):  # swaps that agree on the text count together
-                        uses[source, k] += n * p
-                        add(before, found[k][1], after, n * p)
-                        moved += n * p
-                if moved:
-                    add(before, text, after, -moved)
-            rows = [("use", s, None, None, None, k, 0, n) for (s, k), n in uses.items()]
-            rows += [("pair", None, None, None, None, x, y, n) for (x, y), n in pair.items()]
-            rows += [("single", None, None, None, None, x, 0, n) for x, n in single.items()]
-            rows += [("han", None, None, None, None, x, 0, n) for x, n in han.items()]
-            yield pd.DataFrame(rows, columns=COLUMNS).astype({"n": float})
-
-    return run
-
-
 class Model:
-    """Language, swap weights per source (others: of all sources), and the share of garbled runs."""
+    """Language, and the weights of swaps per source (other: of all sources)."""
 
     def __init__(self, language: Language, weights: dict[str, dict[int, float]], other: dict[int, float]):
         self.language, self.weights, self.other = language, weights, other
+        self.seen: dict[tuple[str, str, str], dict[int, tuple[float, str]]] = {}
 
     def __getstate__(self):
         return self.language.single, self.language.pair, self.language.han, self.weights, self.other
 
     def __setstate__(self, state):
-        self.language, self.weights, self.other = Language(*state[:3]), state[3], state[4]
-
-
-def learn(texts: DataFrame, rounds: int = 7, prior: float = 0.02) -> Model:
-    """Fits the model to all texts (source, text), both not null.
-
-    Every round is one pass over the distinct runs. Swaps whose expected use is below 1e-3 of a run everywhere are dropped
-    after the second round, when the bigrams have settled.
-    """
-    counts = cut_lineage(texts.select("source", "text").mapInPandas(_count, COUNTS).groupBy("kind", "source", "before", "run", "after", "a", "b").agg(F.sum("n").alias("n")))
-    runs = counts.filter("kind = 'run'").select("source", "before", "run", "after", "n")
-    base: dict[str, dict] = {"single": {}, "pair": {}, "han": {}}
-    for r in counts.filter("kind <> 'run'").select("kind", "a", "b", "n").toLocalIterator():
-        base[r["kind"]][(r["a"], r["b"]) if r["kind"] == "pair" else r["a"]] = r["n"]
-    sizes = {r["source"]: r["n"] for r in runs.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    checked = [k for k, (_, true) in enumerate(SWAPS) if true == "utf_8"]  # bytes that are valid UTF-8 hardly arise by chance
-    other = {k: prior / 2 / len(checked) if k in checked else prior / 2 / (len(SWAPS) - len(checked)) for k in range(len(SWAPS))}
-    weights: dict[str, dict[int, float]] = {s: dict(other) for s in sizes}
-    language = Language(base["single"], base["pair"], base["han"])
-    for i in range(rounds):
-        got = runs.mapInPandas(_expect(language, weights, other), COUNTS).groupBy("kind", "source", "a", "b").agg(F.sum("n").alias("n"))
-        now = {k: dict(v) for k, v in base.items()}
-        uses: dict[str, dict[int, float]] = defaultdict(dict)
-        for r in got.toLocalIterator():
-            if r["kind"] == "use":
-                uses[r["source"]][r["a"]] = r["n"]
-            else:
-                key = (r["a"], r["b"]) if r["kind"] == "pair" else r["a"]
-                now[r["kind"]][key] = now[r["kind"]].get(key, 0.0) + r["n"]
-        language = Language(now["single"], now["pair"], now["han"])
-        whole = sum(sizes.values()) or 1.0
-        pooled = {k: (sum(u.get(k, 0.0) for u in uses.values()) + 0.05) / (whole + 1.0) for k in other}
-        if i >= 1:
-            pooled = {k: w for k, w in pooled.items() if w * whole > 0.3}
-        other = pooled
-        weights = {s: {k: (uses[s].get(k, 0.0) + 50.0 * pooled[k]) / (n + 50.0) for k in pooled} for s, n in sizes.items()}
-    return Model(language, weights, other)
+        self.__init__(Language(*state[:3]), state[3], state[4])
 
 
 OPENING, CLOSING = "“„«\"‘'‚", "”“»\"’'"
@@ -403,47 +320,178 @@ def wide(text: str) -> str:
     return out.replace("\0", "").replace("ÿþ", "")
 
 
+def readings(run: str) -> list[str]:
+    """What a short run may stand for if it was UTF-8."""
+    return [r for r in (undo(run, (c, "utf_8")) for c in SINGLE) if r] if 2 <= len(run) <= 6 else []
+
+
+#: What a run that a swap doesn't improve speaks against a stretch that holds it.
+AGAINST = 4.0
+Found = list[tuple[tuple[int, int], dict[int, tuple[float, str]]]]
+
+
+def weigh(model: Model, source: str | None, text: str) -> tuple[Found, dict[int, float]]:
+    """Per run what each swap gains, and per swap the log odds that it took place in this record.
+
+    A swap happens to a stretch: the gains of neighbouring runs are added up, each less 1, runs that it doesn't improve
+    speak against it, and the best stretch counts, against the swap's weight. Runs that only quote, and runs next to a lost
+    character, where nothing is sure, are passed over.
+    """
+    w = model.weights.get(source, model.other)
+    found: Found = []
+    now: dict[int, float] = {}
+    most: dict[int, float] = {}
+    for s, e in runs_of(text):
+        if (s and text[s - 1] == LOST) or (e < len(text) and text[e] == LOST):
+            continue
+        key = (text[s - 1] if s else "\n", text[s:e], text[e] if e < len(text) else "\n")
+        g = model.seen.get(key)
+        if g is None:
+            g = gains(model.language, model.other, *key)
+            if len(model.seen) < 300_000 and e - s < 40:
+                model.seen[key] = g
+        if g and any(quoted(text, s, e, restored) for restored in [r for _, r in g.values()] + readings(text[s:e])):
+            continue
+        found.append(((s, e), g))
+        for k in [k for k in now if k not in g]:
+            now[k] -= AGAINST
+            if now[k] <= 0:
+                del now[k]
+        for k, (gain, _) in g.items():
+            v = now.get(k, 0.0) + gain - 1.0
+            if v > 0:
+                now[k] = v
+                most[k] = max(most.get(k, 0.0), v)
+            else:
+                now.pop(k, None)
+    return found, {k: v + math.log(w[k]) for k, v in most.items()}
+
+
+def stretches(found: Found, k: int, least: float = 3.0) -> list[int]:
+    """Indexes of the runs to restore: those that swap k improves, in stretches that gain at least ``least``."""
+    out: list[int] = []
+    start, v, peak, end = 0, 0.0, 0.0, 0
+    for i in range(len(found) + 1):
+        gain = -math.inf if i == len(found) else found[i][1][k][0] - 1.0 if k in found[i][1] else -AGAINST
+        if v <= 0 < gain:
+            start, v, peak = i, 0.0, 0.0
+        v += gain
+        if v > peak:
+            peak, end = v, i
+        if v <= 0:
+            if peak >= least:
+                out += [j for j in range(start, end + 1) if k in found[j][1]]
+            v = peak = 0.0
+    return out
+
+
 def judge(model: Model, source: str | None, text: str, least: float = 1.0) -> tuple[bool, str, str | None]:
     """(garbled, restored text, swap) of one text.
 
-    The evidence of all runs for one swap is added up against the swap's weight; a replacement, private or
-    control character is evidence enough, though what it stood for is lost.
+    Garbled if the swaps' odds together exceed e^``least`` (e^4 times more if a single character is all there is). A replacement,
+    private or control character is evidence enough, though what it stood for is lost.
     """
     lost = bool(NOT_SOUND.search(text))
     if text.isascii():
         return lost, wide(text) if "\0" in text else text, "cp1252/utf_16" if lost and "\0" in text else None
     if text.count("\0") * 4 > len(text):
         return True, wide(text), "cp1252/utf_16"
-    w = model.weights.get(source, model.other)
-    spans = list(runs_of(text))
-    per_swap: dict[int, float] = defaultdict(float)
-    runs: Counter = Counter()
-    found = []
-    for s, e in spans:
-        if (s and text[s - 1] == LOST) or (e < len(text) and text[e] == LOST):  # next to what is lost nothing is sure
-            found.append({})
-            continue
-        g = gains(model.language, w, text[s - 1] if s else "\n", text[s:e], text[e] if e < len(text) else "\n")
-        found.append(g)
-        for k, (gain, restored) in g.items():
-            if gain > 1.0 and not quoted(text, s, e, restored):
-                per_swap[k] += gain - 1.0
-                runs[k] += len(restored)
-    total = {k: v + math.log(w[k]) for k, v in per_swap.items()}
+    found, total = weigh(model, source, text)
     best = max(total, key=total.get, default=None)
-    if best is None or total[best] + math.log(sum(math.exp(t - total[best]) for t in total.values())) < least + (2.0 if runs[best] == 1 else 0.0):
+    if best is None:
+        return lost, text, None
+    improved = stretches(found, best)
+    single = sum(len(found[i][1][best][1]) for i in improved) <= 1
+    if total[best] + math.log(sum(math.exp(t - total[best]) for t in total.values())) < least + 4.0 * single:
         return lost, text, None
     out, at = [], 0
-    for (s, e), g in zip(spans, found, strict=True):
-        pick = best if best in g else max(g, key=lambda k: g[k][0] + math.log(w[k]), default=None)
-        if pick is None or g[pick][0] + (0.0 if pick == best else math.log(w[pick])) < 1.0 or quoted(text, s, e, g[pick][1]):
-            continue
-        out += [text[at:s], g[pick][1]]
+    for i in improved:
+        (s, e), g = found[i]
+        out += [text[at:s], g[best][1]]
         at = e
     out.append(text[at:])
     return True, "".join(out), "/".join(SWAPS[best])
 
 
+def _expect(model: Model):
+    """Expectation over records: uses of each swap by source, and the change of the bigrams by the restored runs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            uses: Counter = Counter()
+            pair: Counter = Counter()
+            single: Counter = Counter()
+            han: Counter = Counter()
+
+            def add(before: str, text: str, after: str, n: float) -> None:
+                s = [ord(before), *map(ord, text), ord(after)]
+                f = [fold(c) for c in s]
+                for x, y in zip(f[:-1], f[1:], strict=True):
+                    pair[x, y] += n
+                for c, x in zip(s[1:-1], f[1:-1], strict=True):
+                    single[x] += n
+                    if x == 0x4E00:
+                        han[c] += n
+
+            for source, text in zip(b["source"], b["text"], strict=True):
+                if BROKEN.search(text):
+                    continue
+                found, total = weigh(model, source, text)
+                whole = sum(math.exp(min(60.0, t)) for t in total.values())
+                if whole < 1.0:  # more likely sound than garbled
+                    continue
+                best = max(total, key=total.get)
+                uses[source, best] += whole / (1.0 + whole)
+                for i in stretches(found, best):
+                    (s, e), g = found[i]
+                    before, after = text[s - 1] if s else "\n", text[e] if e < len(text) else "\n"
+                    add(before, text[s:e], after, -1.0)
+                    add(before, g[best][1], after, 1.0)
+            rows = [("use", s, k, 0, n) for (s, k), n in uses.items()]
+            rows += [("pair", None, x, y, n) for (x, y), n in pair.items()]
+            rows += [("single", None, x, 0, n) for x, n in single.items()]
+            rows += [("han", None, x, 0, n) for x, n in han.items()]
+            yield pd.DataFrame(rows, columns=COLUMNS).astype({"n": float})
+
+    return run
+
+
+def learn(texts: DataFrame, rounds: int = 4, prior: float = 0.02) -> Model:
+    """Fits the model to all texts (source, text), both not null.
+
+    Every round is one pass over the texts that are not plain ASCII. A swap's weight is the share of a source's records that
+    it explains, drawn towards its share of all records. Swaps that explain no record are dropped after the second round,
+    when the bigrams have settled.
+    """
+    plain = F.col("text").rlike(SOUND_ASCII)
+    counts = texts.select("source", "text").mapInPandas(_count, COUNTS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    base: dict[str, dict] = {"single": {}, "pair": {}, "han": {}}
+    for r in counts.toLocalIterator():
+        base[r["kind"]][(r["a"], r["b"]) if r["kind"] == "pair" else r["a"]] = r["n"]
+    sizes = {r["source"]: r["n"] for r in texts.groupBy("source").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+    whole = sum(sizes.values()) or 1
+    checked = [k for k, (_, true) in enumerate(SWAPS) if true == "utf_8"]  # bytes that are valid UTF-8 hardly arise by chance
+    other = {k: prior / 2 / len(checked) if k in checked else prior / 2 / (len(SWAPS) - len(checked)) for k in range(len(SWAPS))}
+    model = Model(Language(base["single"], base["pair"], base["han"]), {}, other)
+    for i in range(rounds):
+        got = texts.filter(~plain).select("source", "text").mapInPandas(_expect(model), COUNTS).groupBy("kind", "source", "a", "b").agg(F.sum("n").alias("n"))
+        now = {k: dict(v) for k, v in base.items()}
+        uses: dict[str, dict[int, float]] = defaultdict(dict)
+        for r in got.toLocalIterator():
+            if r["kind"] == "use":
+                uses[r["source"]][r["a"]] = r["n"]
+            else:
+                key = (r["a"], r["b"]) if r["kind"] == "pair" else r["a"]
+                now[r["kind"]][key] = now[r["kind"]].get(key, 0.0) + r["n"]
+        used = {k: sum(u.get(k, 0.0) for u in uses.values()) for k in other}
+        if i >= 1:
+            used = {k: n for k, n in used.items() if n > 0.5}
+        other = {k: (n + 0.05) / (whole + 1.0) for k, n in used.items()}
+        weights = {s: {k: (uses[s].get(k, 0.0) + 50.0 * w) / (n + 50.0) for k, w in other.items()} for s, n in sizes.items()}
+        model = Model(Language(now["single"], now["pair"], now["han"]), weights, other)
+    return model
+
+
 RESULT = "table_name string, record_id string, garbled boolean, restored string, swap string"
 
 
@@ -475,4 +523,4 @@ def garbled(texts: DataFrame) -> DataFrame:
     """
     texts = texts.dropDuplicates(["table_name", "record_id", "text"])
     model = learn(texts)
-    return texts.filter(~F.col("text").rlike(r"^[\t\n\f\r\x20-\x7e]*$")).mapInPandas(_apply(model), RESULT)
+    return texts.filter(~F.col("text").rlike(SOUND_ASCII)).mapInPandas(_apply(model), RESULT)

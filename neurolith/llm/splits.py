@@ -111,12 +111,12 @@ def assign_groups(sizes: np.ndarray, shares: np.ndarray) -> np.ndarray:
 
 def shares_of(train: Column, val: Column, test: Column) -> Column:
     """Shares that add up to 1: per cent or fractions, missing ones from what the others leave, else 0.7, 0.15, 0.15."""
-    parts = F.array(train, val, test)
-    known = F.aggregate(parts, F.lit(0.0), lambda a, x: a + F.coalesce(F.greatest(x, F.lit(0.0)), F.lit(0.0)))
+    parts = F.transform(F.array(train, val, test), lambda x: F.when(x.isNotNull() & ~F.isnan(x), F.greatest(x, F.lit(0.0))))
+    known = F.aggregate(parts, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
     missing = F.size(F.filter(parts, lambda x: x.isNull()))
     unit = F.when(known > 1.5, F.lit(100.0)).otherwise(F.lit(1.0))
     rest = F.greatest(unit - known, F.lit(0.0)) / F.greatest(missing, F.lit(1))
-    filled = F.transform(parts, lambda x: F.coalesce(F.greatest(x, F.lit(0.0)), rest))
+    filled = F.transform(parts, lambda x: F.coalesce(x, rest))
     total = F.aggregate(filled, F.lit(0.0), lambda a, x: a + x)
     default = F.array(F.lit(0.7), F.lit(0.15), F.lit(0.15))
     return F.when((missing == 3) | (total <= 0), default).otherwise(F.transform(filled, lambda x: x / total))
