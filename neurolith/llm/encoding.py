@@ -434,14 +434,14 @@ def _expect(model: Model):
                         han[c] += n
 
             for source, text in zip(b["source"], b["text"], strict=True):
-                if BROKEN.search(text):
-                    continue
                 found, total = weigh(model, source, text)
                 whole = sum(math.exp(min(60.0, t)) for t in total.values())
                 if whole < 1.0:  # more likely sound than garbled
                     continue
                 best = max(total, key=total.get)
                 uses[source, best] += whole / (1.0 + whole)
+                if BROKEN.search(text):  # these are not among the counts that are changed here
+                    continue
                 for i in stretches(found, best):
                     (s, e), g = found[i]
                     before, after = text[s - 1] if s else "\n", text[e] if e < len(text) else "\n"
