@@ -385,6 +385,11 @@ def stretches(found: Found, k: int, least: float = 3.0) -> list[int]:
     return out
 
 
+def lone(found: Found, k: int) -> bool:
+    """Whether a single restored character is all that speaks for a swap."""
+    return sum(len(found[i][1][k][1]) for i in stretches(found, k)) <= 1
+
+
 def judge(model: Model, source: str | None, text: str, least: float = 1.0) -> tuple[bool, str, str | None]:
     """(garbled, restored text, swap) of one text.
 
@@ -401,8 +406,7 @@ def judge(model: Model, source: str | None, text: str, least: float = 1.0) -> tu
     if best is None:
         return lost, text, None
     improved = stretches(found, best)
-    single = sum(len(found[i][1][best][1]) for i in improved) <= 1
-    if total[best] + math.log(sum(math.exp(t - total[best]) for t in total.values())) < least + 4.0 * single:
+    if total[best] + math.log(sum(math.exp(t - total[best]) for t in total.values())) < least + 4.0 * lone(found, best):
         return lost, text, None
     out, at = [], 0
     for i in improved:
@@ -439,6 +443,8 @@ def _expect(model: Model):
                 if whole < 1.0:  # more likely sound than garbled
                     continue
                 best = max(total, key=total.get)
+                if math.log(whole) < 4.0 * lone(found, best):
+                    continue
                 uses[source, best] += whole / (1.0 + whole)
                 if BROKEN.search(text):  # these are not among the counts that are changed here
                     continue
