@@ -283,17 +283,17 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Model:
-    """Language, and the weights of swaps per source (other: of all sources)."""
+    """Language, the weights of swaps per source (other: of all sources), and the swaps shown by more than one character."""
 
-    def __init__(self, language: Language, weights: dict[str, dict[int, float]], other: dict[int, float]):
-        self.language, self.weights, self.other = language, weights, other
+    def __init__(self, language: Language, weights: dict[str, dict[int, float]], other: dict[int, float], shown: set[int] = frozenset()):
+        self.language, self.weights, self.other, self.shown = language, weights, other, shown
         self.seen: dict[tuple[str, str, str], dict[int, tuple[float, str]]] = {}
 
     def __getstate__(self):
-        return self.language.single, self.language.pair, self.language.han, self.weights, self.other
+        return self.language.single, self.language.pair, self.language.han, self.weights, self.other, self.shown
 
     def __setstate__(self, state):
-        self.__init__(Language(*state[:3]), state[3], state[4])
+        self.__init__(Language(*state[:3]), *state[3:])
 
 
 OPENING, CLOSING = "“„«\"‘'‚", "”“»\"’'"
@@ -315,9 +315,24 @@ def quoted(text: str, s: int, e: int, restored: str) -> bool:
 
 
 def wide(text: str) -> str:
-    """Text of two-byte units that was read byte by byte, with its NULs taken away."""
-    out = re.sub(r"(?:[^\0]\0)+", lambda m: m.group().replace("\0", ""), text)
-    return out.replace("\0", "").replace("ÿþ", "")
+    """Text of two-byte units that was read byte by byte: stretches around NULs are read again as units, in the byte order
+    that gives the more common characters."""
+
+    def again(m: re.Match) -> str:
+        shown = m.group()
+        best = shown.replace("\0", "")
+        for codec in ("utf-16-le", "utf-16-be"):
+            for lead in (0, 1):
+                raw = shown[lead:].encode("latin-1")
+                try:
+                    out = shown[:lead] + raw[: len(raw) // 2 * 2].decode(codec) + shown[lead + len(raw) // 2 * 2 :]
+                except UnicodeDecodeError:
+                    continue
+                if sum(c.isalnum() or c in " \n.,:;%-–’" for c in out) > sum(c.isalnum() or c in " \n.,:;%-–’" for c in best):
+                    best = out
+        return best
+
+    return re.sub(r"[\x00-\xff]*\0[\x00-\xff]*", again, text).replace("ÿþ", "").replace("\ufeff", "")
 
 
 def readings(run: str) -> list[str]:
@@ -386,27 +401,27 @@ def stretches(found: Found, k: int, least: float = 3.0) -> list[int]:
 
 
 def lone(found: Found, k: int) -> bool:
-    """Whether a single restored character is all that speaks for a swap."""
-    return sum(len(found[i][1][k][1]) for i in stretches(found, k)) <= 1
+    """Whether one restored character, however often, is all that speaks for a swap."""
+    return sum(map(len, {found[i][1][k][1] for i in stretches(found, k)})) <= 1
 
 
 def judge(model: Model, source: str | None, text: str, least: float = 1.0) -> tuple[bool, str, str | None]:
     """(garbled, restored text, swap) of one text.
 
-    Garbled if the swaps' odds together exceed e^``least`` (e^4 times more if a single character is all there is). A replacement,
+    Garbled if the swaps' odds together exceed e^``least``. A replacement,
     private or control character is evidence enough, though what it stood for is lost.
     """
     lost = bool(NOT_SOUND.search(text))
-    if text.isascii():
-        return lost, wide(text) if "\0" in text else text, "cp1252/utf_16" if lost and "\0" in text else None
-    if text.count("\0") * 4 > len(text):
+    if "\0" in text:
         return True, wide(text), "cp1252/utf_16"
+    if text.isascii():
+        return lost, text, None
     found, total = weigh(model, source, text)
     best = max(total, key=total.get, default=None)
     if best is None:
         return lost, text, None
     improved = stretches(found, best)
-    if total[best] + math.log(sum(math.exp(t - total[best]) for t in total.values())) < least + 4.0 * lone(found, best):
+    if total[best] + math.log(sum(math.exp(t - total[best]) for t in total.values())) < least:
         return lost, text, None
     out, at = [], 0
     for i in improved:
@@ -440,12 +455,15 @@ def _expect(model: Model):
             for source, text in zip(b["source"], b["text"], strict=True):
                 found, total = weigh(model, source, text)
                 whole = sum(math.exp(min(60.0, t)) for t in total.values())
-                if whole < 1.0:  # more likely sound than garbled
+                best = max(total, key=total.get, default=None)
+                if best is None:
                     continue
-                best = max(total, key=total.get)
-                if math.log(whole) < 4.0 * lone(found, best):
+                # below even odds: records of which each has but one garbled run would else back each other. UTF-8 proves
+                # itself by its form; another swap must have been shown by more than one character somewhere
+                alone = lone(found, best)
+                if math.log(whole) < (-4.0 if SWAPS[best][1] == "utf_8" else -1.5 if best in model.shown else 4.0 * alone):
                     continue
-                uses[source, best] += whole / (1.0 + whole)
+                uses["lone" if alone else "use", source, best] += 1.0
                 if BROKEN.search(text):  # these are not among the counts that are changed here
                     continue
                 for i in stretches(found, best):
@@ -453,7 +471,7 @@ def _expect(model: Model):
                     before, after = text[s - 1] if s else "\n", text[e] if e < len(text) else "\n"
                     add(before, text[s:e], after, -1.0)
                     add(before, g[best][1], after, 1.0)
-            rows = [("use", s, k, 0, n) for (s, k), n in uses.items()]
+            rows = [(kind, s, k, 0, n) for (kind, s, k), n in uses.items()]
             rows += [("pair", None, x, y, n) for (x, y), n in pair.items()]
             rows += [("single", None, x, 0, n) for x, n in single.items()]
             rows += [("han", None, x, 0, n) for x, n in han.items()]
@@ -482,19 +500,21 @@ def learn(texts: DataFrame, rounds: int = 4, prior: float = 0.02) -> Model:
     for i in range(rounds):
         got = texts.filter(~plain).select("source", "text").mapInPandas(_expect(model), COUNTS).groupBy("kind", "source", "a", "b").agg(F.sum("n").alias("n"))
         now = {k: dict(v) for k, v in base.items()}
-        uses: dict[str, dict[int, float]] = defaultdict(dict)
+        uses: dict[str, dict[int, float]] = defaultdict(lambda: defaultdict(float))
+        shown = set()
         for r in got.toLocalIterator():
-            if r["kind"] == "use":
-                uses[r["source"]][r["a"]] = r["n"]
+            if r["kind"] in ("use", "lone"):
+                uses[r["source"]][r["a"]] += r["n"]
+                shown |= {r["a"]} if r["kind"] == "use" else set()
             else:
                 key = (r["a"], r["b"]) if r["kind"] == "pair" else r["a"]
                 now[r["kind"]][key] = now[r["kind"]].get(key, 0.0) + r["n"]
-        used = {k: sum(u.get(k, 0.0) for u in uses.values()) for k in other}
+        used = {k: sum(u.get(k, 0.0) for u in uses.values()) if k in shown else 0.0 for k in other}
         if i >= 1:
             used = {k: n for k, n in used.items() if n > 0.5}
         other = {k: (n + 0.05) / (whole + 1.0) for k, n in used.items()}
-        weights = {s: {k: (uses[s].get(k, 0.0) + 50.0 * w) / (n + 50.0) for k, w in other.items()} for s, n in sizes.items()}
-        model = Model(Language(now["single"], now["pair"], now["han"]), weights, other)
+        weights = {s: {k: (uses[s].get(k, 0.0) * (k in shown) + 50.0 * w) / (n + 50.0) for k, w in other.items()} for s, n in sizes.items()}
+        model = Model(Language(now["single"], now["pair"], now["han"]), weights, other, shown)
     return model
 
 
