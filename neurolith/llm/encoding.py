@@ -283,7 +283,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Model:
-    """Language, the weights of swaps per source (other: of all sources), and the swaps shown by more than one character."""
+    """Language, the weights of swaps per source (other: of all sources), and the swaps shown by more than two characters."""
 
     def __init__(self, language: Language, weights: dict[str, dict[int, float]], other: dict[int, float], shown: set[int] = frozenset()):
         self.language, self.weights, self.other, self.shown = language, weights, other, shown
@@ -349,15 +349,15 @@ def weigh(model: Model, source: str | None, text: str) -> tuple[Found, dict[int,
     """Per run what each swap gains, and per swap the log odds that it took place in this record.
 
     A swap happens to a stretch: the gains of neighbouring runs are added up, each less 1, runs that it doesn't improve
-    speak against it, and the best stretch counts, against the swap's weight. Runs that only quote, and runs next to a lost
-    character, where nothing is sure, are passed over.
+    speak against it, and the best stretch counts, against the swap's weight. Runs that only quote, and runs next to a lost or
+    control character, where nothing is sure, are passed over.
     """
     w = model.weights.get(source, model.other)
     found: Found = []
     now: dict[int, float] = {}
     most: dict[int, float] = {}
     for s, e in runs_of(text):
-        if (s and text[s - 1] == LOST) or (e < len(text) and text[e] == LOST):
+        if NOT_SOUND.match(text[s - 1 : s]) or NOT_SOUND.match(text[e : e + 1]):
             continue
         key = (text[s - 1] if s else "\n", text[s:e], text[e] if e < len(text) else "\n")
         g = model.seen.get(key)
@@ -401,8 +401,8 @@ def stretches(found: Found, k: int, least: float = 3.0) -> list[int]:
 
 
 def lone(found: Found, k: int) -> bool:
-    """Whether one restored character, however often, is all that speaks for a swap."""
-    return sum(map(len, {found[i][1][k][1] for i in stretches(found, k)})) <= 1
+    """Whether two restored characters, however often (such as a pair of quotation marks), are all that speaks for a swap."""
+    return sum(map(len, {found[i][1][k][1] for i in stretches(found, k)})) <= 2
 
 
 def judge(model: Model, source: str | None, text: str, least: float = 1.0) -> tuple[bool, str, str | None]:
@@ -459,7 +459,7 @@ def _expect(model: Model):
                 if best is None:
                     continue
                 # below even odds: records of which each has but one garbled run would else back each other. UTF-8 proves
-                # itself by its form; another swap must have been shown by more than one character somewhere
+                # itself by its form; another swap must have been shown by more than two characters somewhere
                 alone = lone(found, best)
                 if math.log(whole) < (-4.0 if SWAPS[best][1] == "utf_8" else -1.5 if best in model.shown else 4.0 * alone):
                     continue
