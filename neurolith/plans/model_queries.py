@@ -9,6 +9,7 @@ from neurolith.operators import prototype as pt
 from neurolith.operators import retrieval as rt
 from neurolith.plans.signal_queries import snap, snap_sql
 from neurolith.session import table
+from neurolith.sources import sinks
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -74,6 +75,12 @@ def per_class_metrics(spark, d):
     return pt.class_metrics(_pred(spark, d)).select("class", *[snap(F.col(c), 4).alias(c) for c in ("precision", "recall", "f1")])
 
 
+def experiment_report(spark, d):
+    """Markdown report of the pooled validation."""
+    pred = _pred(spark, d)
+    return sinks.report(sinks.result_json(pred, pt.fold_accuracy(pred), pt.confusion(pred)))
+
+
 def l2_normalize_norms(spark, d):
     e = table(spark, d, "embeddings")
     return e.select("vec_id", snap(rt.l2_norm(F.col("embedding"))).alias("norm"), snap(rt.l2_norm(rt.l2_normalized(F.col("embedding")))).alias("after"))
@@ -127,6 +134,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         loso_folds, group_kfold, holdout_split, standardize_train, centroids, prototype_distance, prototype_softmax, prototype_predict, fold_accuracy,
-        pooled_accuracy, confusion_matrix, per_class_metrics, l2_normalize_norms, vector_topk, vector_topk_enabled,
+        pooled_accuracy, confusion_matrix, per_class_metrics, experiment_report, l2_normalize_norms, vector_topk, vector_topk_enabled,
     )
 }
