@@ -53,6 +53,12 @@ def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("recording_id", "channel_idx", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p3_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The samples that the plausibility and stuck rules flag."""
+    found = flag_samples(table(spark, d, "signal_long"), table(spark, d, "recordings"), table(spark, d, "devices"))
+    return found.filter("reason <> 'spike'").select("recording_id", "channel_idx", "t", "reason")
+
+
 def signal_readings(spark, d):
     return _v(_x(spark, d))
 
@@ -193,7 +199,16 @@ def _tddr(source: str, digits: int) -> str:
         SELECT recording_id, channel_idx, t, {snap_sql("CASE WHEN hit THEN built ELSE v END", digits)} AS v FROM c JOIN r USING (recording_id)"""
 
 
+RULES = f"""WITH s AS (SELECT recording_id, channel_idx, t, max(v) AS v, max(device_id) AS device_id FROM signal_long WHERE v IS NOT NULL GROUP BY recording_id, channel_idx, t),
+    {H}, y AS (SELECT s.*, coalesce(h.sampling_rate, d.nominal_rate) AS fs, CASE WHEN lower(coalesce(h.channel_names[channel_idx + 1], '')) LIKE 'aux%' THEN aux_min ELSE v_min END AS lo,
+      CASE WHEN lower(coalesce(h.channel_names[channel_idx + 1], '')) LIKE 'aux%' THEN aux_max ELSE v_max END AS hi FROM s LEFT JOIN h USING (recording_id) LEFT JOIN devices d ON d.device_id = s.device_id),
+    a AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY recording_id, channel_idx ORDER BY t) THEN 0 ELSE 1 END AS new FROM y),
+    b AS (SELECT *, sum(new) OVER (PARTITION BY recording_id, channel_idx ORDER BY t) AS run FROM a),
+    c AS (SELECT *, count(*) OVER (PARTITION BY recording_id, channel_idx, run) >= 2 * fs AS stuck, isnan(v) OR isinf(v) OR v < lo OR v > hi AS bad FROM b)
+    SELECT recording_id, channel_idx, t, CASE WHEN bad THEN 'range' ELSE 'stuck' END AS reason FROM c WHERE bad OR stuck"""
+
 SQL = {
+    "p3_rules": RULES,
     "signal_readings": f"WITH {X} SELECT recording_id, channel_idx, t, {snap_sql('v')} AS v FROM x",
     "channel_stats": f"WITH {X} SELECT recording_id, channel_idx, count(*) AS n, {snap_sql('avg(v)', 4)} AS mean, {snap_sql('stddev_pop(v)', 4)} AS sd, {snap_sql('median(v)')} AS median FROM x GROUP BY ALL",
     "mad_per_channel": f"WITH {X}, m AS (SELECT recording_id, channel_idx, median(v) AS med FROM x GROUP BY ALL) SELECT recording_id, channel_idx, {snap_sql('any_value(med)')} AS median, {snap_sql('median(abs(v - med))')} AS mad FROM x JOIN m USING (recording_id, channel_idx) GROUP BY recording_id, channel_idx",
@@ -229,7 +244,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_reasons, signal_readings, channel_stats, mad_per_channel, optical_density, std_scale, derivative, cumulative_sum, tddr, fft_bandpass,
+        p3_found, p3_reasons, p3_rules, signal_readings, channel_stats, mad_per_channel, optical_density, std_scale, derivative, cumulative_sum, tddr, fft_bandpass,
         butterworth_bandpass, pipeline_od_sd_tddr, sampling_rate, recording_summary, label_distribution, latest_headers, epoch_windows, epoch_labels,
         epoch_features, features_tcn, features_energy, epoch_baseline, epoch_time_axis, hopping_windows, channel_time_importance, top_channels,
     )
