@@ -485,7 +485,7 @@ def learn(texts: DataFrame, rounds: int = 4, prior: float = 0.02) -> Model:
 
     Every round is one pass over the texts that are not plain ASCII. A swap's weight is the share of a source's records that
     it explains, drawn towards its share of all records. Swaps that explain no record are dropped after the second round,
-    when the bigrams have settled.
+    when the bigrams have settled. Ends early if a round changes nothing.
     """
     plain = F.col("text").rlike(SOUND_ASCII)
     counts = texts.select("source", "text").mapInPandas(_count, COUNTS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
@@ -497,6 +497,7 @@ def learn(texts: DataFrame, rounds: int = 4, prior: float = 0.02) -> Model:
     checked = [k for k, (_, true) in enumerate(SWAPS) if true == "utf_8"]  # bytes that are valid UTF-8 hardly arise by chance
     other = {k: prior / 2 / len(checked) if k in checked else prior / 2 / (len(SWAPS) - len(checked)) for k in range(len(SWAPS))}
     model = Model(Language(base["single"], base["pair"], base["han"]), {}, other)
+    last: dict[str, dict[int, float]] = {}
     for i in range(rounds):
         got = texts.filter(~plain).select("source", "text").mapInPandas(_expect(model), COUNTS).groupBy("kind", "source", "a", "b").agg(F.sum("n").alias("n"))
         now = {k: dict(v) for k, v in base.items()}
@@ -515,6 +516,9 @@ def learn(texts: DataFrame, rounds: int = 4, prior: float = 0.02) -> Model:
         other = {k: (n + 0.05) / (whole + 1.0) for k, n in used.items()}
         weights = {s: {k: (uses[s].get(k, 0.0) * (k in shown) + 50.0 * w) / (n + 50.0) for k, w in other.items()} for s, n in sizes.items()}
         model = Model(Language(now["single"], now["pair"], now["han"]), weights, other, shown)
+        if i >= 2 and uses == last:  # nothing moves any more
+            break
+        last = uses
     return model
 
 
