@@ -98,7 +98,7 @@ def clean_abstract(abstract: str | None) -> str | None:
     text = re.sub(r"^\W*(<[^>]+>\s*)?(abstract|summary)\s*[:.\-–—]\s*", "", abstract.strip(), flags=re.I)
     text = re.sub(r"\W*\b(truncated|continued|read more|more)\W*$", "", text, flags=re.I)  # says that the rest was cut
     words = plain(text).split()
-    return " ".join(words[:60]) if len(words) >= 5 else None
+    return " ".join(words) if len(words) >= 5 else None
 
 
 def clean_year(year: str | None) -> int | None:
@@ -204,6 +204,17 @@ def names_agree(a: list[str], b: list[str], a_cut: bool, b_cut: bool) -> bool |
     return len(set(a) & set(b)) * 2 >= min(len(a), len(b))
 
 
+def words_agree(a: list[str], b: list[str], n: int) -> bool:
+    """Whether of the first n words at most one in twenty differs, and none that has a digit."""
+    left = n // 20
+    for u, v in zip(a[:n], b[:n], strict=True):
+        if u != v:
+            left -= 1
+            if left < 0 or any(c.isdigit() for c in u + v):
+                return False
+    return True
+
+
 def abstracts_agree(a: str | None, b: str | None) -> int | None:
     """How many words agree, as far as the shorter one goes; 0 if they don't agree, None where one is missing.
 
@@ -216,11 +227,8 @@ def abstracts_agree(a: str | None, b: str | None) -> int | None:
     for skip in range(7):
         for p, q in ((x, y[skip:]), (x[skip:], y)):
             n = min(len(p), len(q)) - 1  # the last word may be cut
-            if n < 5:
-                continue
-            unlike = [(u, v) for u, v in zip(p[:n], q[:n], strict=True) if u != v]
-            if len(unlike) * 20 <= n and not any(c.isdigit() for u, v in unlike for c in u + v):
-                best = max(best, n)
+            if n >= 5 and n > best and words_agree(p, q, n):
+                best = n
     return best
 
 

@@ -71,3 +71,13 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert sv.same_work_pairs(none).count() == 0
     assert sv.survivors(none, spark.createDataFrame([], "source string, trust_rank int")).count() == 0
+
+
+def test_abstracts_are_compared_as_a_whole(spark):
+    start = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70))
+    ends = [" ".join(f"{w}{chr(97 + i)}" for i in range(20)) for w in ("left", "right")]
+    assert sv.clean_abstract(f"{start} {ends[0]}") == f"{start} {ends[0]}"
+    assert sv.abstracts_agree(f"{start} a 5 b c d", f"{start} a 6 b c d") == 0
+    assert sv.abstracts_agree(start, f"{start} {ends[0]}") == 69
+    rows = [(i, None, NAMES, "2020", f"{start} {end}", "open_index", None, AT) for i, end in enumerate([ends[0], ends[1], ends[0]], 1)]
+    assert [tuple(r) for r in sv.same_work_pairs(spark.createDataFrame(rows, SCHEMA)).collect()] == [(1, 3)]
