@@ -194,6 +194,12 @@ def titles_agree(a: str, b: str, a_cut: bool, b_cut: bool, more: int = 0) -> int
     return 0
 
 
+def titles_differ(a: str, b: str) -> bool:
+    """Whether two titles under one DOI are of unlike works: not alike as far as the shorter one goes, however dirty."""
+    n = min(len(a), len(b))
+    return not near(a[:n], b[:n], max(n // 10, min(6, n // 3)))
+
+
 def names_agree(a: list[str], b: list[str], a_cut: bool, b_cut: bool) -> bool | None:
     """None where one list is empty."""
     if not a or not b:
@@ -289,6 +295,26 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["i", "j"]).filter(keep)
 
 
+def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x, y = b.column("core").to_pylist(), b.column("usual").to_pylist()
+        yield b.select(["doi"]).filter(pa.array([titles_differ(t, u) for t, u in zip(x, y, strict=True)], pa.bool_()))
+
+
+def volumes(titled: DataFrame) -> DataFrame:
+    """The DOIs (doi) of unlike works. titled: (doi, core), both not null.
+
+    Every title of a DOI is compared with its most frequent one, so that a work of many dirty copies stays one work. DOIs whose
+    titles all begin with the same four words, or all go on with the same four, are left out beforehand.
+    """
+    words = F.split("core", " ")
+    head, next_ = F.concat_ws(" ", F.slice(words, 1, 4)), F.concat_ws(" ", F.slice(words, 5, 4))
+    titles = cut_lineage(titled.groupBy("doi", "core").agg(F.count(F.lit(1)).alias("n")))
+    usual = titles.groupBy("doi").agg((F.min(head) != F.max(head)).alias("x1"), (F.min(next_) != F.max(next_)).alias("x2"), F.max_by("core", F.struct("n", F.length("core"), "core")).alias("usual"))
+    unlike = titles.join(usual.filter("x1 and x2").select("doi", "usual"), "doi").filter("core <> usual")
+    return unlike.select("doi", "core", "usual").mapInArrow(_differing, "doi string").distinct()
+
+
 def candidate_pairs(keyed: DataFrame, most: int = 400) -> DataFrame:
     """Distinct pairs (i < j) of records that share a key. keyed: (rep, bare, fine, key).
 
@@ -318,11 +344,8 @@ def work_groups(candidates: DataFrame) -> DataFrame:
     same = ["core", "kind", "part", "cut", "names", "names_cut", "year", "doi", "preprint", "abstract"]
     digest = F.when(F.size("keys") > 0, F.sha2(F.to_json(F.struct(*same), {"ignoreNullFields": "false"}), 256)).otherwise(F.concat(F.lit("own/"), F.col("candidate_id").cast("string")))
     f = cut_lineage(f.withColumn("digest", digest))
-    # a DOI of unlike works (a volume's): its titles differ in the first four words and in the next four
-    words = F.split("core", " ")
-    head, next_ = F.concat_ws(" ", F.slice(words, 1, 4)), F.concat_ws(" ", F.slice(words, 5, 4))
-    volumes = f.filter("doi is not null and core is not null").groupBy("doi").agg((F.min(head) != F.max(head)).alias("x1"), (F.min(next_) != F.max(next_)).alias("x2")).filter("x1 and x2").select("doi", F.lit(True).alias("volume"))
-    f = f.join(volumes, "doi", "left").withColumn("shared", F.coalesce("volume", F.col("doi").contains("/proc."), F.lit(False)))
+    shared = volumes(f.filter("doi is not null and core is not null").select("doi", "core")).select("doi", F.lit(True).alias("volume"))
+    f = f.join(shared, "doi", "left").withColumn("shared", F.coalesce("volume", F.col("doi").contains("/proc."), F.lit(False)))
     reps = f.groupBy("digest").agg(F.min("candidate_id").alias("rep"), F.first("keys").alias("keys"), F.first("fine").alias("fine"), F.first(F.struct(*same, "shared")).alias("x"))
     reps = cut_lineage(reps)
     pairs = candidate_pairs(reps.select("rep", F.col("x.core").isNull().alias("bare"), "fine", F.explode(F.array_distinct("keys")).alias("key")))

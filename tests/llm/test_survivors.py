@@ -81,3 +81,17 @@ def test_abstracts_are_compared_as_a_whole(spark):
     assert sv.abstracts_agree(start, f"{start} {ends[0]}") == 69
     rows = [(i, None, NAMES, "2020", f"{start} {end}", "open_index", None, AT) for i, end in enumerate([ends[0], ends[1], ends[0]], 1)]
     assert [tuple(r) for r in sv.same_work_pairs(spark.createDataFrame(rows, SCHEMA)).collect()] == [(1, 3)]
+
+
+def test_slips_in_the_titles_do_not_make_a_volume(spark):
+    a, b = "Robust tuinng of frontal oxygen levels under changing amplitude", "Robust tuning of frontal oxygen levels under changign maplitude"
+    c, d = "Robust tuning of fronatl oxygen levels under changing amplitude", "Gaze and posture in older drivers on rural roads at night"
+    assert not sv.titles_differ(sv.plain(a), sv.plain(b)) and sv.titles_differ(sv.plain(a), sv.plain(d)) and sv.titles_differ("editorial", sv.plain(d))
+    doi, vol = "10.1111/one", "10.1111/vol"
+    rows = [(i, t, None, "2020", None, "open_index", doi, AT) for i, t in enumerate([a, b, c, None], 1)]
+    rows += [(i, t, None, "2020", None, "open_index", vol, AT) for i, t in enumerate([c, d, None], 11)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    titled = spark.createDataFrame([(doi, sv.plain(t)) for t in (a, b, c)] + [(vol, sv.plain(t)) for t in (c, d)], "doi string, core string")
+    assert [r.doi for r in sv.volumes(titled).collect()] == [vol]
+    got = {tuple(r) for r in sv.same_work_pairs(df).collect()}
+    assert {(i, j) for i in range(1, 5) for j in range(i + 1, 5)} <= got and not any(13 in p or p == (11, 12) for p in got)
