@@ -132,14 +132,7 @@ def keys_of(core, kind, part, names, doi, abstract) -> list[str]:
     return out
 
 
-def finer(core, names, abstract) -> list[str]:
-    """What a key that very many records share is told apart by."""
-    words, opening = core.split() if core else [], abstract.split() if abstract else []
-    out = ["1 " + " ".join(words[:4])] * bool(words) + ["2 " + " ".join(words[4:8])] * (len(words) > 4)
-    return [*out, *["n " + n for n in names[:1]], *["a " + " ".join(opening[:12])] * bool(opening)]
-
-
-FEATURES = "candidate_id bigint, core string, kind string, part int, cut boolean, names array<string>, names_cut boolean, year int, doi string, preprint boolean, abstract string, keys array<string>, fine array<string>"
+FEATURES = "candidate_id bigint, core string, kind string, part int, cut boolean, names array<string>, names_cut boolean, year int, doi string, preprint boolean, abstract string, keys array<string>"
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,8 +143,8 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, names_cut = clean_names(authors)
             d, pre = clean_doi(doi)
             abst = clean_abstract(abstract)
-            rows.append((i, core, kind, part, cut, names, names_cut, clean_year(year), d, pre, abst, keys_of(core, kind, part, names, d, abst), finer(core, names, abst)))
-        yield pd.DataFrame(rows, columns=["candidate_id", "core", "kind", "part", "cut", "names", "names_cut", "year", "doi", "preprint", "abstract", "keys", "fine"]).astype({"year": "Int32"})
+            rows.append((i, core, kind, part, cut, names, names_cut, clean_year(year), d, pre, abst, keys_of(core, kind, part, names, d, abst)))
+        yield pd.DataFrame(rows, columns=["candidate_id", "core", "kind", "part", "cut", "names", "names_cut", "year", "doi", "preprint", "abstract", "keys"]).astype({"year": "Int32"})
 
 
 def near(a: str, b: str, most: int) -> bool:
@@ -315,17 +308,19 @@ def volumes(titled: DataFrame) -> DataFrame:
     return unlike.select("doi", "core", "usual").mapInArrow(_differing, "doi string").distinct()
 
 
-def candidate_pairs(keyed: DataFrame, most: int = 400) -> DataFrame:
-    """Distinct pairs (i < j) of records that share a key. keyed: (rep, bare, fine, key).
+def candidate_pairs(keyed: DataFrame, most: int | None = None) -> DataFrame:
+    """Distinct pairs (i < j) of records that share a key. keyed: (rep, bare, key).
 
-    A key of more than ``most`` unlike records (a volume's DOI, a stock phrase) is joined only together with a second trait
-    (title words, first author or opening words), so that no group is paired as a whole. Opening words alone ("z|") pair
-    records without a title with all others, not those with each other.
+    Every key is paired as a whole, however many records share it. Opening words alone ("z|") pair records without a title
+    with all others, not those with each other. With ``most`` (then keyed also has fine, an array of traits), a key of more
+    unlike records is joined only together with an equal trait, which loses the pairs that share none.
     """
     keyed = cut_lineage(keyed)
-    big = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("key")
-    fine = keyed.join(big, "key").select("rep", "bare", "key", F.explode("fine").alias("f")).select("rep", "bare", F.concat_ws("|", "key", "f").alias("key"))
-    k = keyed.join(big, "key", "left_anti").select("rep", "bare", "key").unionByName(fine)
+    k = keyed.select("rep", "bare", "key")
+    if most is not None:
+        big = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("key")
+        fine = keyed.join(big, "key").select("rep", "bare", "key", F.explode("fine").alias("f")).select("rep", "bare", F.concat_ws("|", "key", "f").alias("key"))
+        k = k.join(big, "key", "left_anti").unionByName(fine)
     opening = F.col("key").startswith("z|")
     left, right = k.filter(~opening).select(F.col("rep").alias("i"), "key"), k.filter(~opening).select(F.col("rep").alias("j"), "key")
     pairs = left.join(right, "key").filter("i < j").select("i", "j")
@@ -346,9 +341,9 @@ def work_groups(candidates: DataFrame) -> DataFrame:
     f = cut_lineage(f.withColumn("digest", digest))
     shared = volumes(f.filter("doi is not null and core is not null").select("doi", "core")).select("doi", F.lit(True).alias("volume"))
     f = f.join(shared, "doi", "left").withColumn("shared", F.coalesce("volume", F.col("doi").contains("/proc."), F.lit(False)))
-    reps = f.groupBy("digest").agg(F.min("candidate_id").alias("rep"), F.first("keys").alias("keys"), F.first("fine").alias("fine"), F.first(F.struct(*same, "shared")).alias("x"))
+    reps = f.groupBy("digest").agg(F.min("candidate_id").alias("rep"), F.first("keys").alias("keys"), F.first(F.struct(*same, "shared")).alias("x"))
     reps = cut_lineage(reps)
-    pairs = candidate_pairs(reps.select("rep", F.col("x.core").isNull().alias("bare"), "fine", F.explode(F.array_distinct("keys")).alias("key")))
+    pairs = candidate_pairs(reps.select("rep", F.col("x.core").isNull().alias("bare"), F.explode(F.array_distinct("keys")).alias("key")))
     full = pairs.join(reps.select(F.col("rep").alias("i"), "x"), "i").join(reps.select(F.col("rep").alias("j"), F.col("x").alias("y")), "j")
     links = full.select("i", "j", "x", "y").mapInArrow(_verify, "i bigint, j bigint")
     node = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")

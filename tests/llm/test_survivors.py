@@ -95,3 +95,12 @@ def test_slips_in_the_titles_do_not_make_a_volume(spark):
     assert [r.doi for r in sv.volumes(titled).collect()] == [vol]
     got = {tuple(r) for r in sv.same_work_pairs(df).collect()}
     assert {(i, j) for i in range(1, 5) for j in range(i + 1, 5)} <= got and not any(13 in p or p == (11, 12) for p in got)
+
+
+def test_no_link_depends_on_how_many_share_a_key(spark):
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "xz"]
+    slipped = f"{T}: an open protocol".replace("Sparse", "Sprse").replace("event-locked averages in", "event-lockd averages in")
+    rows = [(i, f"{T}: an open protocol", ["A. Holm"], "2020", " ".join(words[i % 90 : i % 90 + 12]) + f" copy {i}", "open_index", "10.1111/hot", AT) for i in range(450)]
+    rows += [(900, None, None, None, None, "direct_url", "10.1111/hot", AT), (901, slipped, ["A. Hol"], "2020", None, "open_index", "10.1111/hot", AT)]
+    got = {r.candidate_id: r.work_id for r in sv.work_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(got.values()) == {0} and len(got) == 452
