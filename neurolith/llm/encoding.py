@@ -548,8 +548,9 @@ def texts_of(chunks: DataFrame, materials: DataFrame) -> DataFrame:
 def garbled(texts: DataFrame) -> DataFrame:
     """(table_name, record_id, garbled, restored, swap) of the garbled records; swap null: only lost characters.
 
-    A record delivered again counts again while learning and is listed once per content. Null and empty texts are sound. The model is
-    fitted to all texts; plain ASCII texts take part in the bigrams and are sound.
+    A text delivered again with the same id counts once while learning (by its smallest source), is judged each time and listed
+    once per content. Null and empty texts are sound. The model is fitted to all texts; plain ASCII texts take part in the
+    bigrams and are sound.
     """
-    model = learn(texts)
+    model = learn(texts.groupBy("table_name", "record_id", "text").agg(F.min("source").alias("source")))
     return texts.filter(~F.col("text").rlike(SOUND_ASCII)).mapInPandas(_apply(model), RESULT).dropDuplicates(["table_name", "record_id", "restored"])

@@ -86,3 +86,11 @@ def test_very_long_text(spark):
     long = SOUND["de"].format(n=1) * 3000
     df = spark.createDataFrame([("chunks", "l", "s", long), ("chunks", "g", "s", swap(long, "utf-8", "cp1252"))], "table_name string, record_id string, source string, text string")
     assert [r.record_id for r in en.garbled(df).collect()] in (["g"], [])  # one half against the other: never the sound one
+
+
+def test_a_text_delivered_again_and_again_is_not_learned_as_language(spark):
+    rows = [("chunks", f"{lang}{n}", "chunks/a", sentence(lang, n)) for lang in SOUND for n in range(30)]
+    bad = swap(sentence("ru", 900), "koi8-r", "cp1251")
+    rows += [("chunks", "again", "chunks/b", bad)] * 600
+    df = spark.createDataFrame(rows, "table_name string, record_id string, source string, text string")
+    assert [(r.record_id, r.restored) for r in en.garbled(df).collect()] == [("again", sentence("ru", 900))]
