@@ -345,6 +345,30 @@ AGAINST = 4.0
 Found = list[tuple[tuple[int, int], dict[int, tuple[float, str]]]]
 
 
+def odds(found: Found, w: dict[int, float]) -> dict[int, float]:
+    """Per swap the log odds that it took place: its best stretch of runs, against the swap's weight."""
+    now: dict[int, float] = {}
+    most: dict[int, float] = {}
+    for _, g in found:
+        for k in [k for k in now if k not in g]:
+            now[k] -= AGAINST
+            if now[k] <= 0:
+                del now[k]
+        for k, (gain, _) in g.items():
+            v = now.get(k, 0.0) + gain - 1.0
+            if v > 0:
+                now[k] = v
+                most[k] = max(most.get(k, 0.0), v)
+            else:
+                now.pop(k, None)
+    return {k: v + math.log(w[k]) for k, v in most.items()}
+
+
+def beside_lost(text: str, s: int, e: int) -> bool:
+    """Whether text[s:e] stands next to a lost or control character."""
+    return bool(NOT_SOUND.match(text[s - 1 : s]) or NOT_SOUND.match(text[e : e + 1]))
+
+
 def weigh(model: Model, source: str | None, text: str) -> tuple[Found, dict[int, float]]:
     """Per run what each swap gains, and per swap the log odds that it took place in this record.
 
@@ -352,12 +376,9 @@ def weigh(model: Model, source: str | None, text: str) -> tuple[Found, dict[int,
     speak against it, and the best stretch counts, against the swap's weight. Runs that only quote, and runs next to a lost or
     control character, where nothing is sure, are passed over.
     """
-    w = model.weights.get(source, model.other)
     found: Found = []
-    now: dict[int, float] = {}
-    most: dict[int, float] = {}
     for s, e in runs_of(text):
-        if NOT_SOUND.match(text[s - 1 : s]) or NOT_SOUND.match(text[e : e + 1]):
+        if beside_lost(text, s, e):
             continue
         key = (text[s - 1] if s else "\n", text[s:e], text[e] if e < len(text) else "\n")
         g = model.seen.get(key)
@@ -368,18 +389,7 @@ def weigh(model: Model, source: str | None, text: str) -> tuple[Found, dict[int,
         if g and any(quoted(text, s, e, restored) for restored in [r for _, r in g.values()] + readings(text[s:e])):
             continue
         found.append(((s, e), g))
-        for k in [k for k in now if k not in g]:
-            now[k] -= AGAINST
-            if now[k] <= 0:
-                del now[k]
-        for k, (gain, _) in g.items():
-            v = now.get(k, 0.0) + gain - 1.0
-            if v > 0:
-                now[k] = v
-                most[k] = max(most.get(k, 0.0), v)
-            else:
-                now.pop(k, None)
-    return found, {k: v + math.log(w[k]) for k, v in most.items()}
+    return found, odds(found, model.weights.get(source, model.other))
 
 
 def stretches(found: Found, k: int, least: float = 3.0) -> list[int]:
@@ -406,30 +416,45 @@ def lone(found: Found, k: int) -> bool:
 
 
 def judge(model: Model, source: str | None, text: str, least: float = 1.0) -> tuple[bool, str, str | None]:
-    """(garbled, restored text, swap) of one text.
+    """(garbled, restored text, swaps) of one text; swaps in the order of their evidence, joined by "+".
 
     Garbled if the swaps' odds together exceed e^``least``. A replacement,
-    private or control character is evidence enough, though what it stood for is lost.
+    private or control character is evidence enough, though what it stood for is lost. The best swap is applied to its
+    stretches, then the best of what is left, as long as its own odds exceed e^``least``. Runs next to a lost character are
+    restored as far as possible by the swaps found elsewhere in the record.
     """
     lost = bool(NOT_SOUND.search(text))
-    if "\0" in text:
-        return True, wide(text), "cp1252/utf_16"
-    if text.isascii():
-        return lost, text, None
-    found, total = weigh(model, source, text)
+    units = "\0" in text
+    if units:
+        text = wide(text)
+    names = ["cp1252/utf_16"] if units else []
+    found, total = ([], {}) if text.isascii() else weigh(model, source, text)
     best = max(total, key=total.get, default=None)
-    if best is None:
-        return lost, text, None
-    improved = stretches(found, best)
-    if total[best] + math.log(sum(math.exp(t - total[best]) for t in total.values())) < least:
-        return lost, text, None
+    if best is None or total[best] + math.log(sum(math.exp(t - total[best]) for t in total.values())) < least:
+        return lost, text, names[0] if names else None
+    w = model.weights.get(source, model.other)
+    instead: dict[tuple[int, int], str] = {}
+    used = [best]
+    while improved := set(stretches(found, best)):
+        instead |= {found[i][0]: found[i][1][best][1] for i in improved}
+        found = [f for i, f in enumerate(found) if i not in improved]
+        total = odds(found, w)
+        best = max(total, key=total.get, default=None)
+        if best is None or total[best] < least:
+            break
+        used += [best] if best not in used else []
+    for s, e in runs_of(text) if instead else ():
+        if not beside_lost(text, s, e):
+            continue
+        known = {k: w[k] for k in used}
+        part = gains(model.language, known, text[s - 1] if s else "\n", text[s:e], text[e] if e < len(text) else "\n")
+        if part:
+            instead[s, e] = max(part.values())[1]
     out, at = [], 0
-    for i in improved:
-        (s, e), g = found[i]
-        out += [text[at:s], g[best][1]]
+    for (s, e), good in sorted(instead.items()):
+        out += [text[at:s], good]
         at = e
-    out.append(text[at:])
-    return True, "".join(out), "/".join(SWAPS[best])
+    return True, "".join([*out, text[at:]]), "+".join([*names, *("/".join(SWAPS[k]) for k in used)])
 
 
 def _expect(model: Model):

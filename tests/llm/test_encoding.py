@@ -94,3 +94,28 @@ def test_a_text_delivered_again_and_again_is_not_learned_as_language(spark):
     rows += [("chunks", "again", "chunks/b", bad)] * 600
     df = spark.createDataFrame(rows, "table_name string, record_id string, source string, text string")
     assert [(r.record_id, r.restored) for r in en.garbled(df).collect()] == [("again", sentence("ru", 900))]
+
+
+@pytest.fixture(scope="module")
+def model(table):
+    return en.learn(table[1].select("source", "text"))
+
+
+def test_every_garbled_stretch_of_a_record_is_restored(model):
+    one, two = sentence("ru", 901), sentence("es", 902)
+    shown = f"{swap(one, 'koi8-r', 'cp1251')}\n{swap(two, 'utf-8', 'mac_roman')}"
+    found, restored, swaps = en.judge(model, "chunks/b", shown)
+    assert found and restored == f"{one}\n{two}" and set(swaps.split("+")) == {"cp1251/koi8_r", "mac_roman/utf_8"}
+
+
+def test_stretches_beside_nulls_are_restored(model):
+    german = sentence("de", 903)
+    _, restored, swaps = en.judge(model, "chunks/b", "T\0h\0e\0 \0e\0n\0d\0\u2028" + swap(german, "utf-8", "cp1252"))
+    assert restored == "The end\u2028" + german and swaps == "cp1252/utf_16+cp1252/utf_8"
+
+
+def test_what_survives_beside_lost_characters_is_restored(model):
+    shown = swap(sentence("de", 904), "utf-8", "cp1252") + " Gr\u00c3\u00b6\ufffd und \u00c3\u00bcbe\ufffd \u00c3\u00a4\ufffd"
+    assert en.beside_lost("\u00c3\u00a4\ufffd", 0, 2)
+    found, restored, swaps = en.judge(model, "chunks/b", shown)
+    assert found and restored == sentence("de", 904) + " Gr\u00f6\ufffd und \u00fcbe\ufffd \u00e4\ufffd" and swaps == "cp1252/utf_8"
