@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -115,6 +116,26 @@ def written_form(text: str) -> str:
     return WORD.sub(word, plain).replace("‐", "-").replace("‑", "-").replace("µ", "μ")
 
 
+def changed(text: str) -> int:
+    """How many characters of the whole text its written form changes."""
+    if text.isascii() and text.isprintable():
+        return 0
+    first = first_map()
+    shown = text.translate(first)
+    n = sum(k for c, k in Counter(text).items() if first[ord(c)] not in (ord(c), c))
+    plain = composed(shown)
+    if plain != shown:  # the marks that composition takes in or reorders
+        n += sum((Counter(shown) - Counter(plain)).values()) or sum(a != b for a, b in zip(shown, plain, strict=True))
+    form = written_form(text)  # from here on letter for letter
+    return n + sum(a != b for a, b in zip(plain, form, strict=True))
+
+
+@F.pandas_udf(LongType())
+def changed_count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield pd.Series([None if t is None else changed(t) for t in s], dtype="Int64")
+
+
 def _series(fn):
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -206,9 +227,9 @@ def unify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     base = base.withColumn("_f", form_of(F.col("_t")))
     shared = classes(with_look(docs, id_col, text_col), id_col).select(F.col(id_col).alias("_id"), "look").distinct()
     d = base.join(shared, F.col(id_col) == F.col("_id"), "left").drop("_id")
-    odd = F.abs(F.length("_f") - F.length("_t")) + F.levenshtein(F.substring("_f", 1, 64), F.substring("_t", 1, 64))
-    rank = F.struct(odd.alias("odd"), F.sha2("_t", 256).alias("h"), F.col(id_col).alias("i"))
-    best = d.filter("look is not null").groupBy("look").agg(F.min_by(F.struct(F.col(id_col).alias("id"), F.col("_f").alias("f")), rank).alias("m"))
+    rank = F.struct(changed_count("_t").alias("odd"), F.sha2("_t", 256).alias("h"), F.col(id_col).alias("i"))
+    ranked = d.filter("look is not null").select(F.col(id_col).alias("id"), "_f", "look", rank.alias("rank"))
+    best = ranked.groupBy("look").agg(F.min_by(F.struct("id", F.col("_f").alias("f")), "rank").alias("m"))
     out = d.join(best, "look", "left")
     blank = F.coalesce(F.regexp_replace("_f", r"\s+", ""), F.lit("")) == ""
     canonical = F.when(blank, F.lit(None)).otherwise(F.coalesce("m.id", F.col(id_col)))

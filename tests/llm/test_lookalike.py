@@ -70,3 +70,13 @@ def test_empty_and_long(spark):
     long = "naïve ﬁle " * 50_000
     df = spark.createDataFrame([(1, long), (2, long.replace("ﬁ", "fi"))], "doc_id bigint, text string")
     assert [tuple(r) for r in la.alike_pairs(df).collect()] == [(1, 2)]
+
+
+def test_canonical_member_is_judged_by_the_whole_text(spark):
+    start = "дрейф левой лобной области был больше чем показывал прибор во время записи"
+    clean = [f"{start} и прибор рос {n}" for n in range(20)]
+    wrong = [t.replace("и прибор рос", "и п\u0070ибо\u0070 \u0070\u006f\u0063") for t in clean]
+    assert len(start) > 64 and la.changed(clean[0]) == 0 and la.changed(wrong[0]) == 2 and la.written_form(wrong[0]) != la.written_form(clean[0])
+    df = spark.createDataFrame([(f"{k}{n}", t) for k, texts in (("clean", clean), ("wrong", wrong)) for n, t in enumerate(texts)], "doc_id string, text string")
+    got = {r.doc_id: (r.canonical_id, r.form) for r in la.unify(df).collect()}
+    assert all(got[f"{k}{n}"] == (f"clean{n}", t) for n, t in enumerate(clean) for k in ("clean", "wrong"))
