@@ -82,7 +82,22 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify(table(spark, d, "documents"))
 
 
+NUMBER = "CAST(CASE WHEN lower(trim({0})) IN ('', '?', 'n/a', 'none', 'test', 'unknown', 'subject_0') THEN NULL ELSE nullif(regexp_extract(translate({0}, '０１２３４５６７８９', '0123456789'), '[0-9]+'), '') END AS BIGINT)"
+
 SQL = {
+    "p2_found": f"""
+        WITH RECURSIVE head AS (SELECT recording_id, min(site) AS site FROM recordings GROUP BY 1),
+        named AS (SELECT recording_id, site, default_subject AS code FROM recordings UNION ALL SELECT recording_id, site, unnest(subject_ids) FROM recordings
+          UNION ALL SELECT e.recording_id, h.site, e.subject FROM epochs e JOIN head h USING (recording_id)),
+        who AS (SELECT DISTINCT 'r/' || recording_id AS a, 'p/' || site || '/' || {NUMBER.format("code")} AS b FROM named WHERE site IS NOT NULL),
+        tie AS (SELECT 'p/' || site_a || '/' || {NUMBER.format("code_a")} AS a, 'p/' || site_b || '/' || {NUMBER.format("code_b")} AS b FROM subject_links),
+        edge AS (SELECT a, b FROM who WHERE b IS NOT NULL UNION SELECT b, a FROM who WHERE b IS NOT NULL
+          UNION SELECT a, b FROM tie WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM tie WHERE a IS NOT NULL AND b IS NOT NULL),
+        reach AS (SELECT DISTINCT 'r/' || recording_id AS a, 'r/' || recording_id AS b FROM epochs UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b),
+        root AS (SELECT a, min(b) AS set_id FROM reach WHERE b LIKE 'r/%' GROUP BY 1),
+        member AS (SELECT epoch_id, min(epoch_id) OVER (PARTITION BY set_id) AS anchor_epoch_id FROM epochs JOIN root ON a = 'r/' || recording_id)
+        SELECT anchor_epoch_id, epoch_id FROM member WHERE epoch_id > anchor_epoch_id
+    """,
     "p5_found": """
         SELECT c.document_id, c.ord FROM (SELECT document_id, ord, arg_max(content, indexed_at) AS content FROM chunks
           WHERE content IS NOT NULL AND document_id IS NOT NULL AND ord IS NOT NULL GROUP BY document_id, ord) c

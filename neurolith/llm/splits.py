@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from neurolith.functions.distributed import cut_lineage
 
-# What is typed where a subject is missing.
-STAND_INS = ["", "?", "-", "n/a", "na", "none", "null", "nan", "unknown", "test", "unk", "anonymous", "missing", "tbd"]
+# What is typed where a subject is missing. The first is what recordings get when nobody is named.
+STAND_INS = ["subject_0", "", "?", "-", "n/a", "na", "none", "null", "nan", "unknown", "test", "unk", "anonymous", "missing", "tbd"]
 WIDE = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F))
 NARROW = "".join(chr(c) for c in range(0x21, 0x7F))
 

@@ -9,7 +9,7 @@ EPO = "epoch_id bigint, recording_id string, subject string, label int"
 LNK = "site_a string, code_a string, site_b string, code_b string"
 
 
-@pytest.mark.parametrize(("code", "want"), [("S032", "32"), (" s1 ", "1"), ("Ｓ０１８", "18"), ("sub-040_ses-02", "40"), ("S019_run3", "19"), ("Subject 2", "2"), ("participant 9", "9"), ("7", "7"), ("S-0", "0"), ("S00000", "0"), ("n/a", None), ("?", None), ("", None), ("test", None), ("unknown", None), (None, None), ("abc", None)])
+@pytest.mark.parametrize(("code", "want"), [("S032", "32"), (" s1 ", "1"), ("Ｓ０１８", "18"), ("sub-040_ses-02", "40"), ("S019_run3", "19"), ("Subject 2", "2"), ("participant 9", "9"), ("7", "7"), ("S-0", "0"), ("S00000", "0"), ("n/a", None), ("?", None), ("", None), ("test", None), ("unknown", None), ("subject_0", None), ("Subject_0", None), (" SUBJECT_0 ", None), ("ｓｕｂｊｅｃｔ＿０", None), ("subject_1", "1"), (None, None), ("abc", None)])
 def test_person_number(spark, code, want):
     df = spark.createDataFrame([(code,)], "c string")
     assert df.select(sp.person_number(df.c)).collect()[0][0] == want
@@ -53,6 +53,14 @@ def test_tied_epochs_equal_union_find(spark):
     assert got == groups(rec, epo, links)
 
 
+def test_stand_ins_tie_nothing(spark):
+    rec = [("a", "d", "s", "subject_0", ["Subject_0", "S1"]), ("b", "d", "s", None, ["subject_0"]), ("c", "d", "s", "SUBJECT_0", ["S2"]), ("e", "d", "s", None, ["participant 1"])]
+    epo = [(1, "a", "subject_0", 0), (2, "b", "Subject_0", 0), (3, "c", "subject_0", 1), (4, "e", "subject_0", 1), (5, "b", None, 1)]
+    links = [("s", "subject_0", "s", "S2"), ("s", "S1", "t", "Subject_0")]
+    got = {tuple(r) for r in sp.tied_epochs(spark.createDataFrame(rec, REC), spark.createDataFrame(epo, EPO), spark.createDataFrame(links, LNK)).collect()}
+    assert got == {(1, 4), (2, 5)}
+
+
 def test_long_chains_settle(spark):
     edges = spark.createDataFrame([(f"r{i:04d}", f"p{j}") for i in range(300) for j in (i, i + 1)], "record string, entity string")
     labels = sp.propagate(edges).collect()
