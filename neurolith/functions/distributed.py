@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,13 +16,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def salted_rank(df: DataFrame, keys: list[str], order: Column, name: str, bits: int = 8) -> DataFrame:
+def bits_for(rows: int, bucket: int = 50_000) -> int:
+    """Upper bits of a hash that cut ``rows`` rows of one group into buckets of about ``bucket`` rows."""
+    return min(24, max(1, math.ceil(math.log2(max(rows, 1) / bucket))) if rows > bucket else 1)
+
+
+def salted_rank(df: DataFrame, keys: list[str], order: Column, name: str, bits: int | None = None) -> DataFrame:
     """Adds the 0-based rank of each row within ``keys`` by a long ``order`` that is spread over all 64 bits (a hash).
 
     Two levels: the upper bits of the order cut each group into buckets that are ranked on their own; the offsets of the
     buckets come from counts that are aggregated before the shuffle. A group of any share of the rows stays divided.
+    ``bits`` default to what cuts a group of all rows into buckets of 50,000 (the rows are counted).
     Ties in ``order`` get distinct ranks in an unspecified order.
     """
+    bits = bits_for(df.count()) if bits is None else bits
     cols = [c for c in df.columns]
     d = df.withColumn("_o", order).withColumn("_b", F.shiftright("_o", 64 - bits).cast("int"))
     counts = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -30,6 +39,40 @@ def salted_rank(df: DataFrame, keys: list[str], order: Column, name: str, bits:
     return ranked.join(offsets, [*keys, "_b"]).select(*cols, (F.col("_off") + F.col("_r") - 1).alias(name))
 
 
+#: Most rows that are broadcast, of at most a few numbers and short names each (about 40 MB).
+BROADCAST_ROWS = 400_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows, marked for broadcast if they were counted to be at most ``most``; for narrow rows that are cheap to count."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def hot_keys(df: DataFrame, keys: list[str], parts: int = 512, least: int = 100_000) -> DataFrame | None:
+    """(keys, _copies) of the keys that hold more than 1/``parts`` of the rows, hence fewer than ``parts`` of them; None if none."""
+    limit = max(df.count() // parts, least)
+    known = df.dropna(subset=keys).groupBy(*keys).count().filter(F.col("count") > limit)
+    hot = [(*r[:-1], -(-r["count"] // limit)) for r in known.collect()]
+    if not hot:
+        return None
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.sparkSession.createDataFrame(hot, f"{kinds}, _copies bigint")
+
+
+def lookup(df: DataFrame, facts: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``df`` joined to ``facts``, which has at most one row per key; the rows of ``hot`` keys are spread over copies of it.
+
+    hot: from ``hot_keys`` of df, made once for any number of joins. The copies (at most twice ``parts``) are the only rows
+    added. The salt is a hash of the row, so that a lost task gives the same rows again. how: inner or left.
+    """
+    if hot is None:
+        return df.join(facts, keys, how)
+    cols = df.columns
+    salted = df.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*cols), F.coalesce("_copies", F.lit(1)))).drop("_copies")
+    spread = facts.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
+    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
 def running_total(df: DataFrame, keys: list[str], position: str, value: str, name: str, width: int = 4096) -> DataFrame:
     """Adds the sum of ``value`` over the earlier positions within ``keys`` (exclusive), in two levels.
 
