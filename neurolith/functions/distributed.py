@@ -50,7 +50,10 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def hot_keys(df: DataFrame, keys: list[str], parts: int = 512, least: int = 100_000) -> DataFrame | None:
     """(keys, _copies) of the keys that hold more than 1/``parts`` of the rows, hence fewer than ``parts`` of them; None if none."""
-    limit = max(df.count() // parts, least)
+    n = df.count()
+    limit = max(n // parts, least)
+    if n <= limit:
+        return None
     known = df.dropna(subset=keys).groupBy(*keys).count().filter(F.col("count") > limit)
     hot = [(*r[:-1], -(-r["count"] // limit)) for r in known.collect()]
     if not hot:
