@@ -12,7 +12,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neurolith.functions.distributed import cut_lineage, salted_rank
+from neurolith.functions.distributed import BROADCAST_ROWS, bits_for, cut_lineage, hot_keys, lookup, salted_rank
 from neurolith.llm.tokens import DEFAULT_VOCABULARY, sized
 
 
@@ -80,7 +80,7 @@ def plan_mix(targets: list[tuple[str, float, int]], counts: dict[str, dict[int,
     return size, plan
 
 
-PLAN = "mix_id string, source string, tokens int, passes int, extra bigint"
+PLAN = "source string, tokens int, uses array<struct<mix_id: string, passes: int, extra: bigint>>"
 #: Most rows of the table of targets, which are parameters and handled on the driver.
 MOST_TARGETS = 10_000
 
@@ -106,15 +106,18 @@ def draw(docs: DataFrame, targets: DataFrame, seed: int = 17, path: str = DEFAUL
     counts: dict[str, dict[int, int]] = defaultdict(dict)
     for r in d.groupBy("source", "tokens").count().toLocalIterator():
         counts[r["source"]][int(r["tokens"])] = r["count"]
-    rows = []
+    uses = defaultdict(list)
     for mix, wanted in sorted(mixes.items()):
         _, plan = plan_mix(sorted(wanted), counts)
         for source, (passes, extra) in plan.items():
-            rows += [(mix, source, n, passes, extra.get(n, 0)) for n in counts[source] if passes or extra.get(n, 0)]
-    plan = spark.createDataFrame(rows, PLAN)
-    ranked = salted_rank(d, ["source", "tokens"], F.xxhash64(F.lit(seed), "doc_id"), "rank")
-    uses = plan.groupBy("source", "tokens").agg(F.collect_list(F.struct("mix_id", "passes", "extra")).alias("uses"))
-    out = ranked.join(uses, ["source", "tokens"]).withColumn("u", F.explode("uses"))
+            for n in counts[source]:
+                if passes or extra.get(n, 0):
+                    uses[source, n].append((mix, passes, extra.get(n, 0)))
+    plan = spark.createDataFrame([(*k, u) for k, u in uses.items()], PLAN)
+    keys, small = ["source", "tokens"], sum(map(len, uses.values())) <= BROADCAST_ROWS
+    ranked = salted_rank(d, keys, F.xxhash64(F.lit(seed), "doc_id"), "rank", bits_for(sum(n for c in counts.values() for n in c.values())))
+    placed = ranked.join(F.broadcast(plan), keys) if small else lookup(ranked, plan, keys, hot_keys(d, keys))
+    out = placed.withColumn("u", F.explode("uses"))
     repeats = F.col("u.passes") + F.when(F.col("rank") < F.col("u.extra"), 1).otherwise(0)
     return out.select("u.mix_id", "source", "doc_id", "tokens", repeats.alias("repeats")).filter("repeats > 0")
 

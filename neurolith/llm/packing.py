@@ -14,7 +14,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neurolith.functions.distributed import cut_lineage, salted_rank
+from neurolith.functions.distributed import BROADCAST_ROWS, bits_for, cut_lineage, hot_keys, lookup, salted_rank
 from neurolith.llm.tokens import DEFAULT_VOCABULARY, sized
 
 
@@ -91,14 +91,15 @@ def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[int, in
     return rows
 
 
-PLAN = "spec_id string, size int, from_rank bigint, number bigint, first_container bigint"
+PLAN = "spec_id string, size int, runs array<struct<from_rank: bigint, number: bigint, first_container: bigint>>"
 
 
 def pack(docs: DataFrame, specs: DataFrame, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(spec_id, container, doc_id, part, size) for every spec and text.
 
     The plan is made from counts by size: at most ``capacity`` rows a spec reach the driver, whatever the number of
-    texts. Containers are numbered from 0 within a spec. Deterministic for given doc_ids.
+    texts. Containers are numbered from 0 within a spec. Deterministic for given doc_ids. The plan is broadcast if its runs are
+    at most ``BROADCAST_ROWS``; else sizes that very many parts share (full parts of long texts) are spread over copies of it.
     """
     spark = docs.sparkSession
     x = cut_lineage(items(docs, specs, path))
@@ -107,12 +108,16 @@ def pack(docs: DataFrame, specs: DataFrame, path: str = DEFAULT_VOCABULARY) -> D
     for r in x.groupBy("spec_id", "capacity", "size").count().toLocalIterator():
         per[r["spec_id"]][int(r["size"])] = r["count"]
         capacity[r["spec_id"]] = int(r["capacity"])
-    rows = [(s, *row) for s, c in sorted(per.items()) for row in plan_containers(c, capacity[s])]
-    plan = spark.createDataFrame(rows, PLAN)
-    ranked = salted_rank(x, ["spec_id", "size"], F.xxhash64("doc_id", "part"), "rank")
-    runs = plan.groupBy("spec_id", "size").agg(F.array_sort(F.collect_list(F.struct("from_rank", "number", "first_container"))).alias("runs"))
+    runs = defaultdict(list)
+    for s, c in sorted(per.items()):
+        for size, *run in plan_containers(c, capacity[s]):
+            runs[s, size].append(tuple(run))
+    plan = spark.createDataFrame([(*k, sorted(r)) for k, r in runs.items()], PLAN)
+    keys, small = ["spec_id", "size"], sum(map(len, runs.values())) <= BROADCAST_ROWS
+    ranked = salted_rank(x, keys, F.xxhash64("doc_id", "part"), "rank", bits_for(sum(n for c in per.values() for n in c.values())))
+    placed = ranked.join(F.broadcast(plan), keys) if small else lookup(ranked, plan, keys, hot_keys(x, keys))
     inside = F.filter("runs", lambda r: (r["from_rank"] <= F.col("rank")) & (F.col("rank") < r["from_rank"] + r["number"]))
-    out = ranked.join(runs, ["spec_id", "size"]).withColumn("r", F.element_at(inside, 1))
+    out = placed.withColumn("r", F.element_at(inside, 1))
     return out.select("spec_id", (F.col("r.first_container") + F.col("rank") - F.col("r.from_rank")).alias("container"), "doc_id", "part", "size")
 
 
@@ -121,7 +126,7 @@ def pack_harmonic(docs: DataFrame, specs: DataFrame, path: str = DEFAULT_VOCABUL
 
     A class-k container takes k texts; sizes below capacity / ``classes`` share the last class.
     """
-    x = items(docs, specs, path).withColumn("class", F.least(F.floor(F.col("capacity") / F.col("size")), F.lit(classes)).cast("int"))
+    x = cut_lineage(items(docs, specs, path)).withColumn("class", F.least(F.floor(F.col("capacity") / F.col("size")), F.lit(classes)).cast("int"))
     ranked = salted_rank(x, ["spec_id", "class"], F.xxhash64("doc_id", "part"), "rank")
     return ranked.select("spec_id", "class", F.floor(F.col("rank") / F.col("class")).alias("container"), "doc_id", "part", "size")
 

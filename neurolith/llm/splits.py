@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neurolith.functions.distributed import cut_lineage
+from neurolith.functions.distributed import cut_lineage, hot_keys, lookup
 
 # What is typed where a subject is missing. The first is what recordings get when nobody is named.
 STAND_INS = ["subject_0", "", "?", "-", "n/a", "na", "none", "null", "nan", "unknown", "test", "unk", "anonymous", "missing", "tbd"]
@@ -51,17 +51,19 @@ def naming(recordings: DataFrame, epochs: DataFrame, links: DataFrame) -> DataFr
 def propagate(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(record, label): the smallest record of each connected component of a bipartite graph.
 
-    Each round takes the minimum over a record's entities and their records, then the label of the label. Both minima
-    are aggregated before the shuffle. Raises if the labels still change after ``rounds`` rounds.
+    Each round takes the label of the label, then the minimum over a record's entities and their records. Both minima are
+    aggregated before the shuffle; records, entities and labels of very many rows are spread (``lookup``). Raises if the
+    labels still change after ``rounds`` rounds.
     """
     edges = cut_lineage(edges)
+    hot_record, hot_entity = hot_keys(edges, ["record"]), hot_keys(edges, ["entity"])
     labels = edges.select("record").distinct().withColumn("label", F.col("record"))
-    for _ in range(rounds):
-        by_entity = edges.join(labels, "record").groupBy("entity").agg(F.min("label").alias("label"))
-        near = edges.join(by_entity, "entity").groupBy("record").agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("record").alias("near"), F.col("label").alias("far"))
-        new = near.join(jump, "near", "left").select("record", F.least("near", F.coalesce("far", "near")).alias("label"))
-        new = cut_lineage(new.join(labels.withColumnRenamed("label", "old"), "record").select("record", F.least("label", "old").alias("label"), (F.col("label") < F.col("old")).alias("moved")))
+    for i in range(rounds):
+        far = labels.select(F.col("record").alias("label"), F.col("label").alias("far"))
+        jumped = lookup(labels, far, ["label"], hot_keys(labels, ["label"])).select("record", F.col("label").alias("old"), F.col("far").alias("label")) if i else labels.withColumn("old", F.col("label"))
+        by_entity = lookup(edges, jumped.select("record", "label"), ["record"], hot_record).groupBy("entity").agg(F.min("label").alias("label"))
+        near = lookup(edges, by_entity, ["entity"], hot_entity).groupBy("record").agg(F.min("label").alias("label"))
+        new = cut_lineage(near.join(jumped.select("record", "old"), "record").select("record", "label", (F.col("label") < F.col("old")).alias("moved")))
         labels = new.select("record", "label")
         if new.filter("moved").limit(1).count() == 0:
             return labels
@@ -76,16 +78,16 @@ def epoch_groups(recordings: DataFrame, epochs: DataFrame, links: DataFrame) ->
     """
     labels = propagate(naming(recordings, epochs, links))
     e = epochs.select("epoch_id", "recording_id", "label", F.concat(F.lit("r/"), "recording_id").alias("record"))
-    e = e.join(labels.withColumnRenamed("label", "group"), "record", "left")
+    e = lookup(e, labels.withColumnRenamed("label", "group"), ["record"], hot_keys(e, ["record"]), "left")
     own = F.coalesce("group", "record", F.concat(F.lit("e/"), F.col("epoch_id").cast("string")))
     return e.select("epoch_id", "recording_id", "label", own.alias("group"))
 
 
 def tied_epochs(recordings: DataFrame, epochs: DataFrame, links: DataFrame) -> DataFrame:
     """(anchor_epoch_id, epoch_id): of each set of two or more epochs, one row per epoch but the smallest."""
-    e = epoch_groups(recordings, epochs, links).filter("epoch_id is not null").select("epoch_id", "group").distinct()
+    e = cut_lineage(epoch_groups(recordings, epochs, links).filter("epoch_id is not null").select("epoch_id", "group").distinct())
     anchors = e.groupBy("group").agg(F.min("epoch_id").alias("anchor_epoch_id"))
-    return e.join(anchors, "group").filter("epoch_id > anchor_epoch_id").select("anchor_epoch_id", "epoch_id")
+    return lookup(e, anchors, ["group"], hot_keys(e, ["group"])).filter("epoch_id > anchor_epoch_id").select("anchor_epoch_id", "epoch_id")
 
 
 SPLITS = ("train", "validation", "test")
