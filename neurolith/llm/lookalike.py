@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from neurolith.functions.distributed import broadcast_if_small, cut_lineage
+
 # Letters of other alphabets and the Latin letters of the same shape.
 CYRILLIC = dict(zip("аеосрухіјѕһԁԛԝӏѵүАВЕКМНОРСТУХІЈЅӀԚԜҮ", "aeocpyxijshdqwlvyABEKMHOPCTYXIJSIQWY", strict=True))
 GREEK = dict(zip("οΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oABEZHIKMNOPTYX", strict=True))
@@ -189,19 +191,23 @@ def look_hash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def with_look(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, own, look_hash, t) of the rows with a text: digests of the text and of its look, and the text."""
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull())
-    return d.select(F.col("_id").alias(id_col), F.sha2("t", 256).alias("own"), look_hash("t").alias("look_hash"), "t").filter("look_hash is not null")
+    """(id, own, look_hash) of the rows with an id and a text: digests of the text and of its look. Computed once, as narrow rows."""
+    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).filter(F.col("_id").isNotNull() & F.col("t").isNotNull())
+    return cut_lineage(d.select(F.col("_id").alias(id_col), F.sha2("t", 256).alias("own"), look_hash("t").alias("look_hash")).filter("look_hash is not null").distinct())
 
 
-def classes(looks: DataFrame, id_col: str) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, own, look) of the rows whose look occurs with unlike texts.
 
-    Hashes with one text only, however many rows share it, are dropped before any text is shuffled; what is left is
-    mapped, grouped under the collation itself, and each row gets its group's smallest text digest as look.
+    Rows whose hash has one text only, however many rows share it, are dropped before any text is joined (the ids left are
+    broadcast if they are few enough); what is left is mapped, grouped under the collation itself, and each row gets its
+    group's smallest text digest as look.
     """
+    looks = with_look(docs, id_col, text_col)
     several = looks.groupBy("look_hash").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi").select("look_hash")
-    d = looks.join(several, "look_hash", "left_semi").withColumn("skeleton", skeleton_of(F.col("t"))).drop("t").withColumn("form", collated("skeleton")).drop("skeleton")
+    wanted = broadcast_if_small(cut_lineage(looks.join(several, "look_hash", "left_semi")))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).join(wanted, (F.col("_id") == F.col(id_col)) & (F.sha2("t", 256) == F.col("own")))
+    d = cut_lineage(texts.select(id_col, "own", "look_hash", skeleton_of(F.col("t")).alias("skeleton")).withColumn("form", collated("skeleton")).drop("skeleton"))
     groups = d.groupBy("look_hash", "form").agg(F.min("own").alias("look"), F.max("own").alias("hi")).filter("look <> hi").drop("hi")
     return d.join(groups, ["look_hash", "form"]).select(id_col, "own", "look")
 
@@ -211,7 +217,7 @@ def alike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null and blank texts are left out; equal texts are no pair; an empty table gives no rows.
     """
-    d = classes(with_look(docs, id_col, text_col), id_col)
+    d = classes(docs, id_col, text_col)
     a, b = d.select("look", F.col(id_col).alias(f"{id_col}_a"), F.col("own").alias("oa")), d.select("look", F.col(id_col).alias(f"{id_col}_b"), F.col("own").alias("ob"))
     return a.join(b, "look").filter(F.col(f"{id_col}_a") < F.col(f"{id_col}_b")).filter("oa <> ob").select(f"{id_col}_a", f"{id_col}_b")
 
@@ -224,13 +230,12 @@ def unify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     canonical_id and their own text.
     """
     base = docs.select(F.col(id_col), F.col(text_col).alias("_t"))
-    base = base.withColumn("_f", form_of(F.col("_t")))
-    shared = classes(with_look(docs, id_col, text_col), id_col).select(F.col(id_col).alias("_id"), "look").distinct()
-    d = base.join(shared, F.col(id_col) == F.col("_id"), "left").drop("_id")
-    rank = F.struct(changed_count("_t").alias("odd"), F.sha2("_t", 256).alias("h"), F.col(id_col).alias("i"))
-    ranked = d.filter("look is not null").select(F.col(id_col).alias("id"), "_f", "look", rank.alias("rank"))
-    best = ranked.groupBy("look").agg(F.min_by(F.struct("id", F.col("_f").alias("f")), "rank").alias("m"))
-    out = d.join(best, "look", "left")
+    shared = cut_lineage(classes(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "look").distinct())
+    shared = broadcast_if_small(shared)
+    rank = F.struct(changed_count("_t").alias("odd"), F.sha2("_t", 256).alias("h"), F.col("_id").alias("i"))
+    ranked = base.join(shared, F.col(id_col) == F.col("_id")).select("_id", "look", form_of(F.col("_t")).alias("_f"), rank.alias("rank"))
+    best = cut_lineage(ranked.groupBy("look").agg(F.min_by(F.struct(F.col("_id").alias("id"), F.col("_f").alias("f")), "rank").alias("m")))
+    out = base.withColumn("_f", form_of(F.col("_t"))).join(shared, F.col(id_col) == F.col("_id"), "left").drop("_id").join(best, "look", "left")
     blank = F.coalesce(F.regexp_replace("_f", r"\s+", ""), F.lit("")) == ""
     canonical = F.when(blank, F.lit(None)).otherwise(F.coalesce("m.id", F.col(id_col)))
     return out.select(F.col(id_col), canonical.alias("canonical_id"), F.when(blank, F.col("_t")).otherwise(F.coalesce("m.f", "_f")).alias("form"))
