@@ -1,7 +1,9 @@
-"""A Spark data source of recording files: CSV, JSON, MAT-like and ZIP, one partition per file.
+"""Recording files (CSV, JSON, MAT, NIRS, SNIRF, ZIP) as tables.
 
-``spark.read.format("recording").option("table", "signals" | "events" | "recordings").load(path)``. The order of rows in a file
-is the sample order, hence a file is never split. Files that cannot be read raise, unless ``mode`` is ``skip``.
+``read_recordings(spark, path, table)`` lists and loads the files by Spark and parses them in Arrow batches; ``parsed`` does so for
+files that are at hand as rows. ``spark.read.format("recording").option("table", ...).load(path)`` is the same as a data source, for
+folders that the driver sees as well. The order of rows in a file is the sample order, hence a file is never split. Files that
+cannot be read raise, unless ``mode`` is ``skip``.
 """
 
 from __future__ import annotations
@@ -16,10 +18,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from neurolith import schema
+from neurolith.sources import matfile
 
 # File suffixes, and names that columns and variables go by.
 SUFFIXES = (".snirf", ".nirs", ".csv", ".mat", ".zip", ".json")
@@ -59,7 +64,7 @@ class Recording:
 
 
 def number(cell: str | None) -> float | None:
-    """A cell as a number; NaN counts as 0, what is none as null."""
+    """A cell as a number; NaN and infinities count as 0, what is no number as null."""
     try:
         v = float(cell)
     except (TypeError, ValueError):
@@ -213,20 +218,66 @@ def from_tree(tree: dict, source_format: str) -> Recording:
 
 def read_mat(raw: bytes) -> Recording:
     try:
-        from scipy.io import loadmat
-    except ImportError as e:
-        raise RecordingError("MAT and NIRS files need scipy") from e
-    return from_tree(loadmat(io.BytesIO(raw), simplify_cells=True), "mat")
+        tree = matfile.read(raw)
+    except (matfile.MatError, ValueError, IndexError) as e:
+        raise RecordingError(f"broken MAT file: {e}") from e
+    return from_tree(tree, "mat")
+
+
+def _text(v) -> str:
+    v = np.ravel(v)[0] if np.size(v) else ""
+    return v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v)
+
+
+def _numbered(group: dict, name: str) -> list[dict]:
+    """Members name, name1, name2, ... of a group in the order of their numbers."""
+    found = [(int(k[len(name) :] or 0), v) for k, v in group.items() if k.startswith(name) and (k[len(name) :] or "0").isdigit() and isinstance(v, dict)]
+    return [v for _, v in sorted(found, key=lambda x: x[0])]
+
+
+def from_snirf(tree: dict) -> Recording:
+    """A recording laid out by the SNIRF standard: nirs/data with dataTimeSeries (time x channel), time and measurement lists, and
+    stimuli with rows of onset, duration and amplitude in seconds. Codes count the stimuli's names in alphabetical order from 1.
+
+    The time vector may hold just a start and a step. Raises without a data group."""
+    nirs = next(iter(_numbered(tree, "nirs")), None)
+    block = next(iter(_numbered(nirs or {}, "data")), None)
+    if block is None or "dataTimeSeries" not in block:
+        raise RecordingError("no nirs/data/dataTimeSeries")
+    m = np.asarray(block["dataTimeSeries"], float)
+    m = m[:, None] if m.ndim == 1 else m
+    times = np.ravel(np.asarray(block.get("time", []), float))
+    rate = 1.0 / times[1] if times.size == 2 and m.shape[0] != 2 and times[1] > 0 else rate_of(times.tolist()) if times.size > 1 else 1.0
+    start = float(times[0]) if times.size else 0.0
+    listed, lengths = _numbered(block, "measurementList"), np.ravel(np.asarray((nirs.get("probe") or {}).get("wavelengths", []), float))
+
+    def channel(i: int) -> str:
+        if i >= len(listed):
+            return f"Ch{i + 1}"
+        c = listed[i]
+        at = lambda k: int(np.ravel(c[k])[0]) if k in c else 0
+        kind = _text(c["dataTypeLabel"]).lower() if "dataTypeLabel" in c else f"{lengths[at('wavelengthIndex') - 1]:g}" if 0 < at("wavelengthIndex") <= lengths.size else ""
+        return f"S{at('sourceIndex')}_D{at('detectorIndex')} {kind}".strip()
+
+    stimuli = [(_text(s.get("name", "")) or str(i + 1), np.atleast_2d(np.asarray(s.get("data", np.zeros((0, 3))), float))) for i, s in enumerate(_numbered(nirs, "stim"))]
+    code = {n: k for k, n in enumerate(sorted({n for n, _ in stimuli}), start=1)}
+    events = sorted((round((float(r[0]) - start) * rate), code[n], n, None) for n, rows in stimuli for r in rows if r.size)
+    return Recording({"raw": np.where(np.isfinite(m), m, 0.0).T}, rate, [channel(i) for i in range(m.shape[1])], events, {k: n for n, k in code.items()}, "snirf")
 
 
 def read_snirf(raw: bytes) -> Recording:
+    """A SNIRF file; one that does not keep to the standard's layout is searched like any nested structure."""
     try:
         import h5py
     except ImportError as e:
         raise RecordingError("SNIRF files need h5py") from e
     with h5py.File(io.BytesIO(raw)) as f:
         tree = lambda g: {k: tree(v) if isinstance(v, h5py.Group) else v[()] for k, v in g.items()}
-        return from_tree(tree(f), "snirf")
+        whole = tree(f)
+    try:
+        return from_snirf(whole)
+    except RecordingError:
+        return from_tree(whole, "snirf")
 
 
 def safe_members(z: zipfile.ZipFile, suffixes: tuple[str, ...]) -> list[str]:
@@ -264,6 +315,62 @@ def parse(name: str, raw: bytes) -> Recording:
     return READERS[suffix](raw)
 
 
+FIELDS = {
+    "signals": pa.schema([("recording_id", pa.string()), ("band", pa.string()), ("channel_idx", pa.int32()), ("channel", pa.string()), ("t", pa.int32()), ("v", pa.float64())]),
+    "events": pa.schema([("recording_id", pa.string()), ("event_idx", pa.int32()), ("onset", pa.int64()), ("code", pa.int32()), ("label", pa.string()), ("subject", pa.string())]),
+    "recordings": pa.schema(
+        [
+            ("recording_id", pa.string()), ("source_format", pa.string()), ("source_path", pa.string()), ("sampling_rate", pa.float64()), ("n_channels", pa.int32()),
+            ("n_samples", pa.int64()), ("channel_names", pa.list_(pa.string())), ("event_id_map", pa.map_(pa.int32(), pa.string())),
+        ]
+    ),
+}
+SCHEMAS = {"signals": schema.SIGNALS, "events": schema.EVENTS, "recordings": schema.RECORDINGS}
+
+
+def batches_of(path: str, r: Recording, table: str) -> Iterator[pa.RecordBatch]:
+    """The rows of one table of a recording: a batch per band and channel, else one batch."""
+    rid, raw = os.path.splitext(os.path.basename(path))[0], r.bands["raw"]
+    if table == "signals":
+        n = raw.shape[1]
+        t = pa.array(np.arange(n, dtype=np.int32))
+        for band, m in r.bands.items():
+            for c, name in enumerate(r.channels):
+                same = lambda v, kind: pa.repeat(pa.scalar(v, kind), n)
+                yield pa.RecordBatch.from_arrays([same(rid, pa.string()), same(band, pa.string()), same(c, pa.int32()), same(name, pa.string()), t, pa.array(np.ascontiguousarray(m[c], float))], schema=FIELDS[table])
+        return
+    rows = [(rid, i, *e) for i, e in enumerate(r.events)] if table == "events" else [(rid, r.source_format, path, r.rate, raw.shape[0], raw.shape[1], r.channels, list(r.labels.items()))]
+    columns = list(zip(*rows, strict=True)) or [()] * len(FIELDS[table])
+    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, FIELDS[table], strict=True)], schema=FIELDS[table])
+
+
+def parsed(files: DataFrame, table: str = "signals", mode: str = "raise") -> DataFrame:
+    """signals, events or recordings of files given as (path, content). mode: raise, or skip those that cannot be read."""
+    if table not in FIELDS:
+        raise ValueError(f"unknown table {table!r}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                try:
+                    r = parse(path, raw or b"")
+                except (RecordingError, ValueError, zipfile.BadZipFile):
+                    if mode == "skip":
+                        continue
+                    raise
+                yield from batches_of(path, r, table)
+
+    return files.select("path", "content").mapInArrow(run, SCHEMAS[table])
+
+
+def read_recordings(spark: SparkSession, path: str, table: str = "signals", mode: str = "raise") -> DataFrame:
+    """A table of all recording files below a folder (or of one file), on any file system that Spark reads."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    hidden = F.regexp_extract("path", r"([^/]*)$", 1).startswith(".")
+    return parsed(files.filter(suffix.isin(*SUFFIXES) & ~hidden), table, mode)
+
+
 @dataclass
 class _File(InputPartition):
     path: str
@@ -272,7 +379,7 @@ class _File(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.table, self.path, self.skip = options.get("table", "signals"), options["path"], options.get("mode") == "skip"
-        if self.table not in ("signals", "events", "recordings"):
+        if self.table not in FIELDS:
             raise ValueError(f"unknown table {self.table!r}")
 
     def partitions(self) -> list[InputPartition]:
@@ -283,27 +390,17 @@ class _Reader(DataSourceReader):
         found = sorted(os.path.join(d, f) for d, _, fs in os.walk(self.path) for f in fs if os.path.splitext(f)[1].lower() in SUFFIXES and not f.startswith("."))
         return [_File(p) for p in found]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if not hasattr(partition, "path"):
             return
-        path = partition.path
         try:
-            with open(path, "rb") as f:
-                r = parse(path, f.read())
+            with open(partition.path, "rb") as f:
+                r = parse(partition.path, f.read())
         except (RecordingError, ValueError, zipfile.BadZipFile):
             if self.skip:
                 return
             raise
-        rid = os.path.splitext(os.path.basename(path))[0]
-        raw = r.bands["raw"]
-        if self.table == "signals":
-            for band, m in r.bands.items():
-                for c, name in enumerate(r.channels):
-                    yield from ((rid, band, c, name, t, v) for t, v in enumerate(m[c].tolist()))
-        elif self.table == "events":
-            yield from ((rid, i, *e) for i, e in enumerate(r.events))
-        else:
-            yield (rid, r.source_format, path, r.rate, raw.shape[0], raw.shape[1], r.channels, r.labels)
+        yield from batches_of(partition.path, r, self.table)
 
 
 class RecordingSource(DataSource):
@@ -314,7 +411,7 @@ class RecordingSource(DataSource):
         return "recording"
 
     def schema(self) -> str:
-        return {"signals": schema.SIGNALS, "events": schema.EVENTS, "recordings": schema.RECORDINGS}[self.options.get("table", "signals")]
+        return SCHEMAS[self.options.get("table", "signals")]
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))

@@ -102,3 +102,102 @@ def test_sinks(spark, tmp_path):
     top = spark.createDataFrame([(3, 1.0), (5, 0.5)], "idx int, importance double")
     text = sinks.report(r, top).collect()[0].report
     assert "| f | 1 | 1.0 |" in text and text.index("channel 3") < text.index("channel 5")
+
+
+def mat5(variables):
+    """A MAT file of version 5: numbers, text and structures; every second variable is compressed."""
+    import struct
+    import zlib
+
+    def element(kind, data):
+        return struct.pack("<II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
+
+    def matrix(name, v):
+        head = lambda kind, shape: element(6, struct.pack("<II", kind, 0)) + element(5, struct.pack(f"<{len(shape)}i", *shape)) + element(1, name.encode())
+        if isinstance(v, dict):
+            names = b"".join(k.encode().ljust(32, b"\0") for k in v)
+            return element(14, head(2, (1, 1)) + struct.pack("<HHi", 5, 4, 32) + element(1, names) + b"".join(matrix("", x) for x in v.values()))
+        if isinstance(v, str):
+            return element(14, head(4, (1, len(v))) + element(4, np.array(list(map(ord, v)), "<u2").tobytes()))
+        a = np.asarray(v)
+        kind, code = {"f4": (7, 7), "f8": (6, 9), "i4": (12, 5)}[a.dtype.str[1:]]
+        return element(14, head(kind, a.shape) + element(code, a.astype(a.dtype.str.replace(">", "<")).tobytes(order="F")))
+
+    parts = [matrix(k, v) for k, v in variables.items()]
+    packed = [p if i % 2 else struct.pack("<II", 15, len(zlib.compress(p))) + zlib.compress(p) for i, p in enumerate(parts)]
+    return b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<H", 0x0100) + b"IM" + b"".join(packed)
+
+
+def test_mat_files():
+    signal = np.arange(60, dtype=np.float32).reshape(20, 3)
+    raw = mat5({"data": {"dataTimeSeries": signal, "time": np.arange(20.0)}, "note": "a text", "stim": np.array([[0], [1], [0], [2], [0]], np.int32), "fs": np.array([[10.0]])})
+    r = rec.parse("x.MAT", raw)
+    assert r.bands["raw"].tolist() == signal.T.tolist() and r.rate == 10 and [(e[0], e[1]) for e in r.events] == [(1, 1), (3, 2)]
+    with pytest.raises(rec.RecordingError):
+        rec.parse("x.nirs", raw[:200])
+    with pytest.raises(rec.RecordingError):
+        rec.parse("x.mat", b"no")
+
+
+def test_snirf_layout():
+    lists = {f"measurementList{i}": {"sourceIndex": 1, "detectorIndex": i, "wavelengthIndex": 2} for i in (2, 1)}
+    nirs = {"data1": {"dataTimeSeries": np.arange(8.0).reshape(4, 2), "time": np.array([1.0, 1.5, 2.0, 2.5]), **lists}, "probe": {"wavelengths": np.array([760.0, 850.0])},
+            "stim1": {"name": b"tap", "data": np.array([[2.0, 1, 1]])}, "stim2": {"name": b"rest", "data": np.array([1.0, 1, 1])}}
+    r = rec.from_snirf({"formatVersion": b"1.0", "nirs": nirs})
+    assert r.channels == ["S1_D1 850", "S1_D2 850"] and r.rate == 2 and r.bands["raw"].shape == (2, 4)
+    assert r.events == [(0, 1, "rest", None), (2, 2, "tap", None)] and r.labels == {1: "rest", 2: "tap"}
+    with pytest.raises(rec.RecordingError):
+        rec.from_snirf({"nirs": {}})
+
+
+def test_recordings_by_spark(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.csv").write_text(CSV)
+    (tmp_path / "bad.json").write_text("{")
+    got = rec.read_recordings(spark, str(tmp_path), "signals", "skip").orderBy("channel_idx", "t").collect()
+    assert [r.v for r in got] == [1.5, 0.0, 0.3, 0.4, 0.0, 2.0, 0.2, 0.0] and got[4].channel == "ch2"
+    assert rec.read_recordings(spark, str(tmp_path), "events", "skip").count() == 4
+    with pytest.raises(Exception, match="Expecting"):
+        rec.read_recordings(spark, str(tmp_path), "recordings").collect()
+
+
+def docx(*paragraphs):
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    return b.getvalue()
+
+
+def pdf():
+    import zlib
+
+    page = zlib.compress(b"BT /F1 12 Tf 72 700 Td (Hello \\(PDF\\) w\\366rld) Tj 0 -14 Td [(sec) -30 (ond) -300 (line)] TJ ET")
+    mapped = b"2 beginbfchar <0001> <8FD1> <0002> <7EA2> endbfchar 1 beginbfrange <0003> <0004> <5916> endbfrange"
+    objects = [
+        b"<< /Type /Page /Contents 2 0 R /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>", b"<< /Filter /FlateDecode >>\nstream\n" + page + b"\nendstream", b"<< /Type /Font >>",
+        b"<< /Type /Font /ToUnicode 5 0 R >>", b"<< >>\nstream\n" + mapped + b"\nendstream", b"<< /Type /Page /Contents [7 0 R] >>", b"<< >>\nstream\nBT /F2 9 Tf <000100020003> Tj ET\nendstream",
+    ]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, start=1))
+
+
+def test_document_formats(spark, tmp_path):
+    assert texts.extract("a.pdf", pdf()) == "Hello (PDF) wörld\nsecond line\n近红外"
+    assert texts.extract("a.docx", docx("One.", "Two.")) == "One.\n\nTwo."
+    assert texts.extract("a.zip", archive(b_dot_bin=b"x", z_dot_txt=b"late", c_dot_docx=docx("first"))) == "first"
+    assert texts.extract("a.doc", b"x") is None and texts.extract("e.md", b"") == ""
+    for name, raw in {"p.pdf": pdf(), "d.docx": docx("D"), "broken.pdf": b"x", "z.zip": archive(a_dot_md=b"zipped"), "t.txt": b"t"}.items():
+        (tmp_path / name).write_bytes(raw)
+    got = {r.path.rsplit("/", 1)[-1]: (r.text, r.error) for r in texts.read_documents(spark, str(tmp_path), str(tmp_path)).collect()}
+    assert got["d.docx"] == ("D", None) and got["z.zip"] == ("zipped", None) and got["t.txt"] == ("t", None) and got["p.pdf"][0].startswith("Hello")
+    assert got["broken.pdf"] == (None, "DocumentError: no PDF") and len(got) == 5
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        z.writestr("../outside.md", "x")
+    with pytest.raises(ValueError, match="unsafe path"):
+        texts.extract("a.zip", b.getvalue())
+
+
+def test_names_are_weighed_by_rules_of_their_own():
+    assert texts.repaired_name("报告.md".encode().decode("latin-1")) == "报告.md"
+    assert texts.repaired_name("Ã¼ber.md") == "über.md" and texts.repaired_name("plain.md") == "plain.md"
