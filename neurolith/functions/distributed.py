@@ -109,3 +109,23 @@ def within(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, e
     s = spans.filter(F.col(end) > F.col(start)).withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
     p = points.withColumn("_b", F.floor(F.col(at) / width))
     return p.join(s, [key, "_b"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_b")
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, width: int = 4096) -> DataFrame:
+    """``left`` with ``value`` of the latest row of ``right`` of the same key at or before ``at`` (a long); null without one.
+
+    Both sides are stacked and cut into stretches of ``width``; only the last value per stretch takes part in the window over a
+    whole key, so that a key with any share of the rows stays divided. No pairs are formed. Of several values at one time the
+    largest counts.
+    """
+    cols = left.columns
+    facts = right.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(key, at).agg(F.max(F.struct(value)).alias("_v"))
+    both = left.withColumn("_mine", F.lit(True)).unionByName(facts, allowMissingColumns=True).withColumn("_s", F.floor(F.col(at) / width))
+    lasts = facts.withColumn("_s", F.floor(F.col(at) / width)).groupBy(key, "_s").agg(F.max_by("_v", at).alias("_last"))
+    spans = both.select(key, "_s").distinct().join(lasts, [key, "_s"], "left")
+    before = Window.partitionBy(key).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(key, "_s", F.last("_last", ignorenulls=True).over(before).alias("_before"))
+    # of one time the facts come first
+    inner = Window.partitionBy(key, "_s").orderBy(at, F.col("_mine").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    x = both.withColumn("_in", F.last("_v", ignorenulls=True).over(inner)).filter("_mine").join(spans, [key, "_s"], "left")
+    return x.select(*cols, F.coalesce("_in", "_before")[value].alias(value))

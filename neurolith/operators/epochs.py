@@ -103,10 +103,16 @@ def label_distribution(epochs: DataFrame) -> DataFrame:
     return epochs.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def importance(ep: DataFrame) -> DataFrame:
-    """(axis, idx, importance): mean absolute reading by channel and by sample of the epoch, in one pass."""
-    g = ep.select("channel_idx", "k", F.abs("v").alias("a")).groupingSets([["channel_idx"], ["k"]], "channel_idx", "k").agg(F.avg("a").alias("importance"), F.grouping("channel_idx").alias("g"))
-    return g.select(F.when(F.col("g") == 0, "channel").otherwise("time").alias("axis"), F.when(F.col("g") == 0, F.col("channel_idx")).otherwise(F.col("k")).cast("bigint").alias("idx"), "importance")
+def importance(ep: DataFrame, bands: bool = False) -> DataFrame:
+    """(axis, idx, importance): mean absolute reading by channel and by sample of the epoch, and by band_idx if asked, in one
+    pass."""
+    names = ["channel_idx", "k", *(["band_idx"] if bands else [])]
+    g = ep.select(*names, F.abs("v").alias("a")).groupingSets([[n] for n in names], *names).agg(F.avg("a").alias("importance"), *[F.grouping(n).alias(f"g_{n}") for n in names])
+    axis, idx = F.lit("time"), F.col("k").cast("bigint")
+    for n, shown in (("channel_idx", "channel"), ("band_idx", "band")):
+        if n in names:
+            axis, idx = F.when(F.col(f"g_{n}") == 0, shown).otherwise(axis), F.when(F.col(f"g_{n}") == 0, F.col(n).cast("bigint")).otherwise(idx)
+    return g.select(axis.alias("axis"), idx.alias("idx"), "importance")
 
 
 def top_channels(imp: DataFrame, n: int = 8) -> DataFrame:

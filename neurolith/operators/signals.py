@@ -205,3 +205,8 @@ def recommend(rate: float, n_samples: int) -> dict[str, float | bool]:
     return {"low": 0.01 if n_samples / max(rate, 1e-9) > 100 else 0.0, "high": high, "repair_steps": n_samples > 20, "tmin": -2.0, "tmax": 10.0}
 
 
+def recommendations(heads: DataFrame) -> DataFrame:
+    """(recording_id, low, high, repair_steps, tmin, tmax): ``recommend`` for every recording with a rate and a sample count."""
+    h = heads.filter("sampling_rate > 0 and n_samples is not null")
+    low = F.when(F.col("n_samples") / F.greatest("sampling_rate", F.lit(1e-9)) > 100, 0.01).otherwise(0.0)
+    return h.select("recording_id", low.alias("low"), F.least(F.lit(0.2), 0.45 * F.col("sampling_rate")).alias("high"), (F.col("n_samples") > 20).alias("repair_steps"), F.lit(-2.0).alias("tmin"), F.lit(10.0).alias("tmax"))

@@ -57,3 +57,39 @@ def since_last(df: DataFrame, keys: list[str], position: str, marker: Column) ->
 
 def keep_first(df: DataFrame, key: Column, order: Column) -> DataFrame:
     return latest(df.withColumn("_key", key), ["_key"], order).drop("_key")
+
+
+def inserted(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """The table with further rows; columns that these lack are null."""
+    return df.unionByName(rows, allowMissingColumns=True)
+
+
+def updated(df: DataFrame, where: Column, values: dict[str, Column]) -> DataFrame:
+    """The table with new values in the rows that a condition holds for; null counts as not holding."""
+    hit = F.coalesce(where, F.lit(False))
+    return df.select(*[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns])
+
+
+def merged(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """The table with the values of ``changes`` (one row per key) in the columns that these have, null values too."""
+    names = [c for c in changes.columns if c != key]
+    n = changes.select(F.col(key).alias("_k"), F.struct(*names).alias("_n"))
+    x = df.join(n, F.col(key) == F.col("_k"), "left")
+    return x.select(*[F.when(F.col("_k").isNotNull(), F.col(f"_n.{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+def deleted(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The table without the rows of some keys."""
+    return df.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def affected(df: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """(key, n): how many rows of the table each asked key has; 0 for one that does not exist, to be known before a delete."""
+    per = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return asked.select(key).distinct().join(per, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def with_default(df: DataFrame, row: DataFrame) -> DataFrame:
+    """The table, or the default row where it is empty."""
+    one = df.limit(1).agg(F.count(F.lit(1)).alias("_n"))
+    return df.unionByName(row.join(F.broadcast(one.filter("_n = 0")), F.lit(True)).drop("_n"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from neurolith.plans import model_queries, signal_queries, table_queries, text_queries
+from neurolith.plans import experiment_queries, model_queries, signal_queries, table_queries, text_queries, upkeep_queries
 
-PARTS = (signal_queries, model_queries, text_queries, table_queries)
+PARTS = (signal_queries, model_queries, experiment_queries, text_queries, table_queries, upkeep_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,43 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from neurolith.functions.distributed import cut_lineage
+
+
+#: Folders of an index on disk: documents share them by a hash of their id, so that their number does not grow with the documents.
+BUCKETS = 256
+
+
+def write_index(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Chunks as Parquet in folders by hash of the document; of an existing index only the documents at hand are replaced.
+
+    Folders that hold a document at hand are written anew with the chunks of all their other documents."""
+    new = chunks.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int"))
+    try:
+        old = chunks.sparkSession.read.parquet(path)
+    except AnalysisException:  # nothing there yet
+        old = None
+    if old is not None:
+        touched, ids = new.select("bucket").distinct(), new.select("document_id").distinct()
+        kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(ids, "document_id", "left_anti")
+        new = cut_lineage(new.unionByName(kept.select(*new.columns)))  # read before its folders are overwritten
+    new.repartition("bucket", F.pmod(F.xxhash64("document_id"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """Rows with a column json as text, one document per row (results, explanations)."""
+    rows.select("json").coalesce(1).write.mode("overwrite").text(path)
+
 
-def write_index(chunks: DataFrame, path: str) -> None:
-    """Chunks as Parquet by document; of an existing index only the documents at hand are replaced."""
-    chunks.repartition("document_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
+def checkpoint_json(family: str, seed: int) -> str:
+    """Description of a fitted classifier, from which the experiment can be run again."""
+    return json.dumps({"model_family": family, "seed": seed, "note": "run the experiment again for the centroids"}, ensure_ascii=False)
 
 
 def result_json(predictions: DataFrame, accuracy: DataFrame, confusion: DataFrame) -> DataFrame:

@@ -94,6 +94,10 @@ def test_sinks(spark, tmp_path):
     sinks.write_index(c, str(tmp_path / "i"))
     sinks.write_index(spark.createDataFrame([("a", 0, "new")], "document_id string, ord int, content string"), str(tmp_path / "i"))
     assert sorted((r.document_id, r.content) for r in spark.read.parquet(str(tmp_path / "i")).collect()) == [("a", "new"), ("b", "y")]
+    sinks.write_index(spark.createDataFrame([(f"d{i}", 0, "z") for i in range(40)], "document_id string, ord int, content string"), str(tmp_path / "i"), buckets=4)
+    assert spark.read.parquet(str(tmp_path / "i")).count() == 42
+    sinks.write_json(spark.createDataFrame([('{"a": 1}',)], "json string"), str(tmp_path / "j"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "j")).collect()] == ['{"a": 1}'] and json.loads(sinks.checkpoint_json("tcn", 1))["seed"] == 1
     from neurolith.operators import prototype as pt
 
     pred = spark.createDataFrame([(1, "f", 0, 0), (2, "g", 1, 0)], "id int, fold string, label int, prediction int")
