@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from neurolith.functions.distributed import previous_value, running_total
+from neurolith.functions.distributed import cut_lineage, previous_value, running_total
+from neurolith.operators import blocks as bk
 
 CHANNEL = ["recording_id", "channel_idx"]
 FLOOR = 1e-6
@@ -36,14 +37,19 @@ def readings(signal: DataFrame) -> DataFrame:
 
 def channel_stats(x: DataFrame) -> DataFrame:
     """(channel, n, mean, sd, median): sd is the population's; the median is exact."""
-    return x.groupBy(*CHANNEL).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.median("v").alias("median"))
+    stats = x.groupBy(*CHANNEL).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
+    return stats.join(bk.medians(bk.pack(x), lambda r: r["vs"], "median"), CHANNEL)
 
 
 def spread(x: DataFrame) -> DataFrame:
     """(channel, median, mad): median of the absolute deviations from the median."""
-    med = x.groupBy(*CHANNEL).agg(F.median("v").alias("median"))
-    dev = x.join(med, CHANNEL).groupBy(*CHANNEL).agg(F.first("median").alias("median"), F.median(F.abs(F.col("v") - F.col("median"))).alias("mad"))
-    return dev
+    return _spread(bk.pack(x), lambda r: r["vs"])
+
+
+def _spread(blocks: DataFrame, values) -> DataFrame:
+    med = cut_lineage(bk.medians(blocks, values, "median"))
+    mad = bk.medians(bk.attach(blocks, med, CHANNEL), lambda r: np.abs(values(r) - r["median"]), "mad")
+    return med.join(mad, CHANNEL)
 
 
 def optical_density(x: DataFrame) -> DataFrame:
@@ -73,16 +79,31 @@ def repair_steps(x: DataFrame, threshold: float = 4.0) -> DataFrame:
     """Derivative-based repair: differences beyond ``threshold`` MADs become the channel's median difference and the signal
     is summed up again.
 
-    One such difference anywhere in a recording rebuilds all its channels (from 0); without one they stay untouched.
+    One such difference anywhere in a recording rebuilds all its channels (from 0); without one they stay untouched. Works on
+    blocks: their differences give the medians, their sums the level that the next block goes on from.
     """
-    d = derivative(x)
-    stats = spread(d)
-    z = F.abs("v") / F.when(F.col("mad") == 0, 1.0).otherwise(F.col("mad"))
-    d = d.join(stats, CHANNEL).select(*CHANNEL, "t", F.when(z > threshold, F.col("median")).otherwise(F.col("v")).alias("v"), (z > threshold).alias("far"))
-    hit = d.groupBy("recording_id").agg(F.max("far").alias("any"))
-    built = cumulative(d.select(*CHANNEL, "t", "v")).withColumnRenamed("v", "built")
-    out = x.join(built, [*CHANNEL, "t"]).join(hit, "recording_id")
-    return out.select(*CHANNEL, "t", F.when(F.col("any"), F.col("built")).otherwise(F.col("v")).alias("v"))
+    blocks = bk.with_previous(bk.pack(x))
+
+    def steps(r) -> np.ndarray:
+        v = r["vs"]
+        return np.diff(v, prepend=v[0] if r["before"] is None or np.isnan(r["before"]) else r["before"])
+
+    def mended(r) -> tuple[np.ndarray, bool]:
+        d = steps(r)
+        far = np.abs(d) / (r["mad"] or 1.0) > threshold
+        return np.where(far, r["median"], d), bool(far.any())
+
+    def summed(r) -> tuple[bool, float]:
+        d, far = mended(r)
+        return far, float(d.sum())
+
+    blocks = bk.attach(blocks, cut_lineage(_spread(blocks, steps)), CHANNEL)
+    sums = cut_lineage(bk.each(blocks, summed, "far boolean, s double"))
+    before = Window.partitionBy(*CHANNEL).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*bk.BLOCK, F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("base"))
+    hit = sums.groupBy("recording_id").agg(F.max("far").alias("hit"))
+    facts = cut_lineage(base.join(hit, "recording_id"))
+    return bk.unpack(bk.attach(blocks, facts, bk.BLOCK), lambda r: r["base"] + np.cumsum(mended(r)[0]) if r["hit"] else r["vs"])
 
 
 def sampling_rate(times: DataFrame, key: str, seconds: str, order: str) -> DataFrame:
@@ -103,8 +124,8 @@ def fft_band(v: np.ndarray, rate: float, low: float | None, high: float | None)
     return np.fft.irfft(np.where(keep, np.fft.rfft(v), 0), n=v.size)
 
 
-def butterworth_sections(order: int, low: float | None, high: float | None, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Numerator and denominator of a digital Butterworth filter by the bilinear transform.
+def butterworth_roots(order: int, low: float | None, high: float | None, rate: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(zeros, poles, gain) of a digital Butterworth filter by the bilinear transform.
 
     Cutoffs are held within (1e-5, 0.999) of the Nyquist frequency; low alone is a high-pass, high alone a low-pass.
     """
@@ -124,31 +145,96 @@ def butterworth_sections(order: int, low: float | None, high: float | None, rate
         w = warp(high)
         p, z, gain = w * poles, np.zeros(0, complex), w**order
     zd = np.r_[(1 + z) / (1 - z), -np.ones(p.size - z.size)]
-    pd_ = (1 + p) / (1 - p)
-    k = gain * np.real(np.prod(1 - z) / np.prod(1 - p))
-    return k * np.real(np.poly(zd)), np.real(np.poly(pd_))
-
+    return zd, (1 + p) / (1 - p), float(gain * np.real(np.prod(1 - z) / np.prod(1 - p)))
 
-def _run_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    y, s = np.empty_like(x), state.astype(float).copy()
-    for i, v in enumerate(x):
-        y[i] = out = b[0] * v + s[0]
-        s[:-1] = b[1:-1] * v + s[1:] - a[1:-1] * out
-        s[-1] = b[-1] * v - a[-1] * out
-    return y
 
-
-def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The filter run forwards and backwards over an odd extension of the ends, started in its steady state."""
-    n = max(len(a), len(b))
-    pad = 3 * n
+def butterworth_sections(order: int, low: float | None, high: float | None, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numerator and denominator of ``butterworth_roots``."""
+    z, p, k = butterworth_roots(order, low, high, rate)
+    return k * np.real(np.poly(z)), np.real(np.poly(p))
+
+
+def cascade(z: np.ndarray, p: np.ndarray, k: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sections of at most two states in a row: each has a pair of poles and two zeros. Poles near the unit circle that lie close
+    together cannot be told from the coefficients of one large filter, those of pairs can."""
+    above = sorted((x for x in p if x.imag > 1e-12), key=abs)
+    real = sorted(x.real for x in p if abs(x.imag) <= 1e-12)
+    pairs = [[x, np.conj(x)] for x in above] + [real[i : i + 2] for i in range(0, len(real), 2)]
+    zeros = sorted(z, key=lambda x: (x.real, x.imag))
+    out = []
+    for i, pair in enumerate(pairs):
+        own = [zeros.pop(0 if j % 2 else -1) for j in range(len(pair)) if zeros]
+        num = np.real(np.poly(own)) * (k if i == 0 else 1.0)
+        out.append((np.r_[num, np.zeros(len(pair) + 1 - num.size)], np.real(np.poly(pair))))
+    return out
+
+
+def state_space(b: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(h, o, g, p) of a filter over ``length`` samples: its answer to an impulse, what a state adds to each output (rows), what each
+    input adds to the state at the end (rows), and the state's own way to the end. States are those of the transposed form."""
+    n = len(a) - 1
+    step = np.c_[-a[1:], np.eye(n)[:, : n - 1]]
+    take = b[1:] - a[1:] * b[0]
+    o, g = np.empty((length, n)), np.empty((length, n))
+    row, col = np.eye(n)[0], take
+    for i in range(length):
+        o[i], g[length - 1 - i] = row, col
+        row, col = row @ step, step @ col
+    h = np.r_[b[0], o[:-1] @ take]
+    return h, o, g, np.linalg.matrix_power(step, length)
+
+
+def run_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, length: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(output, state at the end). Stretches of ``length`` samples are filtered at once by their answers to impulses; only their
+    states follow from each other."""
+    whole = x.size // length
+    out = np.empty(x.size)
+    s = np.asarray(state, float)
+    if whole:
+        h, o, g, p = state_space(b, a, length)
+        shift = np.arange(length)[:, None] - np.arange(length)[None, :]
+        answer = np.where(shift >= 0, h[np.maximum(shift, 0)], 0.0)
+        m = x[: whole * length].reshape(whole, length)
+        ends, before = m @ g, np.empty((whole, s.size))
+        for i in range(whole):
+            before[i] = s
+            s = p @ s + ends[i]
+        out[: whole * length] = (m @ answer.T + before @ o.T).ravel()
+    rest = x[whole * length :]
+    if rest.size:
+        h, o, g, p = state_space(b, a, rest.size)
+        out[whole * length :] = np.convolve(rest, h)[: rest.size] + o @ s
+        s = p @ s + rest @ g
+    return out, s
+
+
+def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The state that an endless input of 1 leads to."""
+    n = len(a) - 1
+    step = np.c_[-a[1:], np.eye(n)[:, : n - 1]]
+    return np.linalg.solve(np.eye(n) - step, b[1:] - a[1:] * b[0])
+
+
+def odd_ends(head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is put before and after a signal: its ends, turned about their first and last value."""
+    return 2 * head[0] - head[:0:-1], 2 * tail[-1] - tail[-2::-1]
+
+
+def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+    """The filter run forwards and backwards over an odd extension of the ends, started in its steady state.
+
+    sections: the same filter as a cascade; without it the filter is run as one, in short stretches if it has many states."""
+    pad = 3 * max(len(a), len(b))
     if x.size <= pad:
         raise ValueError(f"needs more than {pad} samples")
-    m = np.eye(n - 1) - np.c_[-a[1:], np.vstack([np.eye(n - 2), np.zeros(n - 2)])]
-    steady = np.linalg.solve(m, b[1:] - a[1:] * b[0])
-    ext = np.r_[2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]
-    y = _run_filter(b, a, ext, steady * ext[0])
-    y = _run_filter(b, a, y[::-1], steady * y[-1])[::-1]
+    first, last = odd_ends(x[: pad + 1], x[-pad - 1 :])
+    y = np.r_[first, x, last]
+    for _ in range(2):
+        level = y[0]
+        for num, den in sections or [(b, a)]:
+            y, _ = run_filter(num, den, y, steady_state(num, den) * level, 256 if len(den) <= 3 else 1)
+            level = level * num.sum() / den.sum()
+        y = y[::-1]
     return y[pad:-pad]
 
 
@@ -168,7 +254,7 @@ def band_pass(x: DataFrame, rates: DataFrame, low: float | None, high: float | N
         try:
             if method != "butterworth":
                 raise ValueError
-            out = zero_phase(*butterworth_sections(order, low, high, rate), v)
+            out = zero_phase(*butterworth_sections(order, low, high, rate), v, cascade(*butterworth_roots(order, low, high, rate)))
         except ValueError:
             out = fft_band(v, rate, low, high)
         return pd.DataFrame({"recording_id": pdf["recording_id"], "channel_idx": pdf["channel_idx"], "t": pdf["t"], "v": out})
