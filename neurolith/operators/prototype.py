@@ -19,7 +19,8 @@ def leave_one_group_out(rows: DataFrame) -> DataFrame:
 def group_k_fold(rows: DataFrame, folds: int = 5, seed: int = 42, most: int = 100_000) -> DataFrame:
     """Adds fold: the sorted groups are shuffled by NumPy's generator and cut into nearly equal parts.
 
-    Group names reach the driver, at most ``most``; beyond that a group's fold is the rank of its hash, cut alike.
+    Group names reach the driver, at most ``most``; beyond that a group's fold is a seeded hash of its name, so that the parts are
+    of about equal size only.
     """
     groups = rows.select(F.col("grp").cast("string").alias("grp")).distinct()
     names = sorted(r[0] for r in groups.limit(most + 1).collect())
@@ -33,14 +34,28 @@ def group_k_fold(rows: DataFrame, folds: int = 5, seed: int = 42, most: int = 10
     return rows.withColumn("fold", F.concat(F.lit("GroupKFold "), (F.pmod(F.xxhash64(F.lit(seed), F.col("grp").cast("string")), F.lit(folds)) + 1).cast("string")))
 
 
-def holdout(rows: DataFrame, order: str, share: float = 0.8) -> DataFrame:
-    """Adds is_val: of the rows in ``order`` the last part. Fewer than two rows: none is validated."""
-    from neurolith.functions.distributed import running_total
+def holdout(rows: DataFrame, order: str, share: float = 0.8, buckets: int = 4096) -> DataFrame:
+    """Adds is_val: of the rows in ``order`` (a whole number) the last part. Fewer than two rows: none is validated.
 
-    ranked = running_total(rows.withColumn("_one", F.lit(1)).withColumn("_all", F.lit(0)), ["_all"], order, "_one", "_rank")
-    n = rows.count()
+    The cut is found by counts in ever narrower ranges of ``order``, at most ``buckets`` rows at a time, and the rows are only
+    compared with it. Rows of equal order stay together, beyond the cut; those without one come first.
+    """
+    o = F.col(order)
+    n, known, low, high = rows.agg(F.count(F.lit(1)), F.count(o), F.min(o), F.max(o)).first()
     cut = min(max(1, int(n * share)), n - 1) if n > 1 else n
-    return ranked.withColumn("is_val", F.col("_rank") >= cut).drop("_one", "_all", "_rank")
+    left = cut - (n - known)  # rows with an order that train
+    if left >= known:
+        return rows.withColumn("is_val", F.lit(False))
+    low, high, left = int(low), int(high), max(left, 0)
+    while high > low:
+        width = -(-(high - low + 1) // buckets)
+        counts = rows.filter(o.between(low, high)).groupBy(F.floor((o - F.lit(low)) / F.lit(width)).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for b, m in sorted((int(r["b"]), r["n"]) for r in counts):
+            if left < m:
+                low, high = low + b * width, min(high, low + (b + 1) * width - 1)
+                break
+            left -= m
+    return rows.withColumn("is_val", F.coalesce(o >= F.lit(low), F.lit(False)))
 
 
 def _long(rows: DataFrame) -> DataFrame:

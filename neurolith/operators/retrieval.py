@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -41,36 +42,61 @@ def hash_embedding(docs: DataFrame, id_col: str, text_col: str, dim: int = 4096)
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter("t is not null and i is not null").mapInPandas(run, f"{id_col} {kind}, bucket int, weight double")
 
 
+#: Queries that one scan of the data answers, and queries whose scores are held at a time.
+QUERIES_PER_SCAN, QUERIES_PER_BLOCK = 32768, 1024
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, best_s: np.ndarray, best_i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of the rows so far and new ones, ties by the larger id."""
+    """The k best of the rows so far and new ones in descending order, ties by the larger id.
+
+    Only what reaches the k-th best score is sorted."""
     s = np.hstack([best_s, scores])
     i = np.hstack([best_i, np.broadcast_to(ids, (s.shape[0], ids.size))])
+    if s.shape[1] > k:
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        enough = s >= least[:, None]
+        width = int(enough.sum(axis=1).max())
+        keep = np.argsort(~enough, axis=1, kind="stable")[:, :width]  # those that reach it come first
+        s, i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
     order = np.lexsort((i, s), axis=1)[:, ::-1][:, :k]
     return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
-def hash_search(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k: int = 4, dim: int = 4096, block: int = 1024) -> DataFrame:
+def _parts(rows: Iterator, size: int) -> Iterator[list]:
+    """Lists of ``size`` rows."""
+    rows = iter(rows)
+    while part := list(islice(rows, size)):
+        yield part
+
+
+def _ranked(hits: DataFrame | None, empty: DataFrame, k: int) -> DataFrame:
+    """Hits of all partitions with their rank; the best one counts whatever its score, others only above 0."""
+    if hits is None:
+        return empty
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("id"))
+    return hits.withColumn("rn", F.row_number().over(w)).filter((F.col("rn") <= k) & ((F.col("score") > 0) | (F.col("rn") == 1)))
+
+
+def hash_search(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k: int = 4, dim: int = 4096, block: int = QUERIES_PER_SCAN // 16) -> DataFrame:
     """(query_id, id, score, rn): the k best texts for each query text by hash embeddings, exactly.
 
-    Like ``top_k``, with the queries in blocks and k rows per query and partition; the texts' vectors exist only while they
-    are scored. Blank queries and texts have no hits. The best hit counts whatever its score, others only above 0.
+    Like ``top_k``; a text is hashed once per scan, and its vector exists only while it is scored. Blank queries and texts have no
+    hits. The best hit counts whatever its score, others only above 0.
     """
     k, dim = max(k, 1), max(dim, 64)
     named = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
     asked = queries.filter(F.col(query_text).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).cast("string").alias("q"), F.col(query_text).alias("t"))
 
-    def score(names: list[str], matrix: np.ndarray):
+    def score(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, matrix = shared.value
             best_s, best_i = np.full((len(names), 0), -np.inf), np.zeros((len(names), 0), object)
             for b in batches:
-                got, cols = [], []
-                for i, t in zip(b.column("id").to_pylist(), b.column("t").to_pylist(), strict=True):
-                    v = hash_counts(t, dim)
-                    if v:
-                        got.append(i)
-                        cols.append(matrix[:, list(v)] @ np.fromiter(v.values(), float))
-                if got:
-                    best_s, best_i = _best(np.stack(cols, 1), np.array(got, object), best_s, best_i, k)
+                for part in _parts(zip(b.column("id").to_pylist(), b.column("t").to_pylist(), strict=True), 512):
+                    got = [(i, v) for i, t in part if (v := hash_counts(t, dim))]
+                    if got:
+                        cols = [matrix[list(v)].T @ np.fromiter(v.values(), float) for _, v in got]
+                        best_s, best_i = _best(np.stack(cols, 1), np.array([i for i, _ in got], object), best_s, best_i, k)
             n = best_s.shape[1]
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n).tolist()), pa.array(best_i.ravel().tolist()), pa.array(best_s.ravel())], names=["query_id", "id", "score"])
@@ -78,30 +104,15 @@ def hash_search(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str,
         return run
 
     out = None
-    rows: list = []
-
-    def flush() -> None:
-        nonlocal out, rows
-        vectors = [(r["q"], hash_counts(r["t"], dim)) for r in rows]
-        vectors = [(q, v) for q, v in vectors if v]
-        rows = []
-        if not vectors:
-            return
-        m = np.zeros((len(vectors), dim))
-        for j, (_, v) in enumerate(vectors):
-            m[j, list(v)] = list(v.values())
-        got = named.mapInArrow(score([q for q, _ in vectors], m), "query_id string, id string, score double")
-        out = got if out is None else out.unionByName(got)
-
-    for r in asked.toLocalIterator():
-        rows.append(r)
-        if len(rows) == block:
-            flush()
-    flush()
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "query_id string, id string, score double, rn int")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("id"))
-    return out.withColumn("rn", F.row_number().over(w)).filter((F.col("rn") <= k) & ((F.col("score") > 0) | (F.col("rn") == 1)))
+    for rows in _parts(asked.toLocalIterator(), block):
+        vectors = [(r["q"], v) for r in rows if (v := hash_counts(r["t"], dim))]
+        if vectors:
+            m = np.zeros((dim, len(vectors)))
+            for j, (_, v) in enumerate(vectors):
+                m[list(v), j] = list(v.values())
+            got = named.mapInArrow(score(docs.sparkSession.sparkContext.broadcast(([q for q, _ in vectors], m))), "query_id string, id string, score double")
+            out = got if out is None else out.unionByName(got)
+    return _ranked(out, docs.sparkSession.createDataFrame([], "query_id string, id string, score double, rn int"), k)
 
 
 def l2_norm(e: Column) -> Column:
@@ -114,63 +125,49 @@ def l2_normalized(e: Column) -> Column:
     return F.transform(e, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
 
 
-def top_k(index: DataFrame, queries: DataFrame, k: int = 4, block: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def top_k(index: DataFrame, queries: DataFrame, k: int = 4, block: int = QUERIES_PER_SCAN, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, id, score, rn): the k best rows of ``index`` for each query by dot product, exactly.
 
-    The queries go to the workers in blocks of at most ``block`` vectors; every partition scores a block as one matrix
-    product and hands on only its own k best, so that blocks x partitions x k rows are shuffled. Rows whose dimension
-    differs from the query's are no hits. k is at least 1. The best row is returned even if its score is not above 0, others
-    only if it is. Ties: the larger id. Null vectors are left out.
+    One scan of the index answers ``block`` queries (a bound on what is sent to the workers): every partition scores them in
+    blocks, each as one matrix product, and hands on only its own k best. Rows whose dimension differs from the query's are no
+    hits. k is at least 1. The best row is returned even if its score is not above 0, others only if it is. Ties: the larger id.
+    Null vectors are left out.
     """
     k = max(k, 1)
+    spark = index.sparkSession
     index = index.filter(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("e"))
     queries = queries.filter(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("query_id"), F.col(vec_col).cast("array<double>").alias("e"))
-    out = None
-    rows: list = []
 
-    def score(ids: np.ndarray, vectors: np.ndarray):
+    def score(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best_s = np.full((len(ids), 0), -np.inf)
-            best_i = np.zeros((len(ids), 0), np.int64)
+            blocks = shared.value
+            best = [(np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)) for ids, _ in blocks]
             for b in batches:
                 lists = b.column("e")
-                sizes = np.diff(lists.offsets.to_numpy())
-                keep = np.flatnonzero(sizes == vectors.shape[1])
-                if not keep.size:
-                    continue
-                m = np.vstack([lists[i].values.to_numpy() for i in keep]) if keep.size < sizes.size else lists.flatten().to_numpy().reshape(-1, vectors.shape[1])
-                own = b.column("id").to_numpy()[keep]
-                s = np.hstack([best_s, vectors @ m.T])
-                i = np.hstack([best_i, np.broadcast_to(own, (len(ids), own.size))])
-                order = np.lexsort((-i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            n = best_s.shape[1]
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["query_id", "id", "score"])
+                sizes, own = np.diff(lists.offsets.to_numpy()), b.column("id").to_numpy()
+                for size in {v.shape[1] for _, v in blocks}:
+                    keep = np.flatnonzero(sizes == size)
+                    if not keep.size:
+                        continue
+                    m = np.vstack([lists[i].values.to_numpy() for i in keep]) if keep.size < sizes.size else lists.flatten().to_numpy().reshape(-1, size)
+                    for j, (_, vectors) in enumerate(blocks):
+                        if vectors.shape[1] == size:
+                            best[j] = _best(vectors @ m.T, own[keep], *best[j], k)
+            for (ids, _), (s, i) in zip(blocks, best, strict=True):
+                if s.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, s.shape[1])), pa.array(i.ravel()), pa.array(s.ravel())], names=["query_id", "id", "score"])
 
         return run
 
-    def flush() -> None:
-        nonlocal out, rows
+    out = None
+    for rows in _parts(queries.toLocalIterator(), block):
         by_size: dict[int, list] = {}
         for r in rows:
             by_size.setdefault(len(r["e"]), []).append(r)
-        for part in by_size.values():
-            ids, vectors = np.array([r["query_id"] for r in part], np.int64), np.array([r["e"] for r in part], float)
-            got = index.mapInArrow(score(ids, vectors), "query_id bigint, id bigint, score double")
-            out = got if out is None else out.unionByName(got)
-        rows = []
-
-    for r in queries.toLocalIterator():
-        rows.append(r)
-        if len(rows) == block:
-            flush()
-    if rows:
-        flush()
-    if out is None:
-        return index.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rn int")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("id"))
-    return out.withColumn("rn", F.row_number().over(w)).filter((F.col("rn") <= k) & ((F.col("score") > 0) | (F.col("rn") == 1)))
+        blocks = [(np.array([r["query_id"] for r in p], np.int64), np.array([r["e"] for r in p], float).reshape(len(p), -1)) for part in by_size.values() for p in _parts(part, QUERIES_PER_BLOCK)]
+        got = index.mapInArrow(score(spark.sparkContext.broadcast(blocks)), "query_id bigint, id bigint, score double")
+        out = got if out is None else out.unionByName(got)
+    return _ranked(out, spark.createDataFrame([], "query_id bigint, id bigint, score double, rn int"), k)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, carried: str | None = None, by: str | None = None) -> DataFrame:

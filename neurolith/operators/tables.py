@@ -49,6 +49,13 @@ def tail(items: Column, n: int) -> Column:
     return F.when(F.size(items) == 0, items).otherwise(F.slice(items, F.greatest(F.size(items) - n + 1, F.lit(1)), n))
 
 
+def last_values(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
+    """(keys, items): the n largest values of each key in ascending order. Every task keeps n per key before anything is shuffled."""
+    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(value))
+    top = df.select(*keys, value).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    return top.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("items"))
+
+
 def since_last(df: DataFrame, keys: list[str], position: str, marker: Column) -> DataFrame:
     """Rows from the last marker of their key on; all rows of a key without one."""
     at = df.filter(marker).groupBy(*keys).agg(F.max(position).alias("_from"))

@@ -57,8 +57,8 @@ def dataset_delete_nulls(spark, d):
 
 def recent_values(spark, d):
     """The last five events of a user as text."""
-    e = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
-    return e.select("user_id", F.array_join(F.transform(tb.tail(F.col("ids"), 5), lambda x: x.cast("string")), ",").alias("last_ids"))
+    e = tb.last_values(table(spark, d, "events"), ["user_id"], "event_id", 5)
+    return e.select("user_id", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("last_ids"))
 
 
 def hopping_event_counts(spark, d):

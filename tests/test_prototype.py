@@ -82,3 +82,16 @@ def test_family_names(name):
 def test_unknown_family():
     with pytest.raises(ValueError):
         pt.family("tree")
+
+
+def test_holdout_cut_is_the_rank_whatever_the_spread(spark):
+    from pyspark.sql import functions as F
+
+    values = [5, -3, 10**15, 7, 8, 9, 11, -(10**12), 4, 6]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "o bigint")
+    got = {r.o: r.is_val for r in pt.holdout(df, "o", 0.8, buckets=3).collect()}
+    want = sorted(values)
+    assert got == {None: False, **{v: i + 1 >= 8 for i, v in enumerate(want)}}
+    ties = spark.createDataFrame([(1,)] * 6 + [(2,)] * 4, "o bigint")
+    assert pt.holdout(ties, "o", 0.8).filter("is_val").count() == 4 and pt.holdout(ties.limit(1), "o").filter("is_val").count() == 0
+    assert pt.holdout(ties.limit(0), "o").count() == 0 and pt.holdout(df.filter(F.col("o").isNull()), "o").filter("is_val").count() == 0

@@ -123,3 +123,24 @@ def test_bands_and_importance(spark):
     imp = ep.importance(e)
     assert {(r.axis, r.idx): r.importance for r in imp.collect()} == {("channel", 0): 2.0, ("channel", 1): 2.0, ("time", 0): 1.5, ("time", 1): 2.5}
     assert [(r.idx, r.importance) for r in ep.top_channels(imp, 1).collect()] == [(1, 1.0)]
+
+
+def test_block_medians_equal_numpy(spark):
+    from neurolith.operators import blocks as bk
+
+    rng = np.random.default_rng(5)
+    pdf = pd.concat([pd.DataFrame({"recording_id": "a", "channel_idx": c, "t": rng.permutation(5000)[:n], "v": v}) for c, n, v in ((0, 301, rng.normal(size=301)), (1, 400, 3 + 1e-9 * rng.normal(size=400)), (2, 2, [-1.0, 2.0]), (3, 1, [0.0]), (4, 50, rng.integers(-2, 3, 50).astype(float)))])
+    blocks = bk.pack(spark.createDataFrame(pdf).selectExpr("recording_id", "cast(channel_idx as int) channel_idx", "cast(t as int) t", "v"), width=64)
+    got = {r.channel_idx: r.m for r in bk.medians(blocks, lambda r: r["vs"], "m").collect()}
+    assert all(got[c] == pytest.approx(np.median(g["v"]), abs=1e-15) for c, g in pdf.groupby("channel_idx"))
+    assert bk.medians(blocks.limit(0), lambda r: r["vs"], "m").count() == 0
+
+
+def test_cascade_equals_the_filter_sample_by_sample():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=1500).cumsum()
+    for order, low, high in ((3, 0.05, 0.5), (3, None, 0.2), (2, 0.05, None), (1, 0.1, 0.3)):
+        b, a = sg.butterworth_sections(order, low, high, 10.0)
+        whole = sg.zero_phase(b, a, x)
+        parts = sg.zero_phase(b, a, x, sg.cascade(*sg.butterworth_roots(order, low, high, 10.0)))
+        assert np.abs(whole - parts).max() < 1e-6 * np.abs(whole).max()
