@@ -94,3 +94,15 @@ def test_running_median_equals_brute_force():
     x = np.random.default_rng(4).normal(size=50)
     pad = np.pad(x, 6, mode="reflect")
     assert np.allclose(running_median(x, 6), [np.median(pad[i : i + 13]) for i in range(50)])
+
+
+def test_the_size_of_blocks_does_not_matter(spark):
+    v, w = noise(900, 5), noise(900, 6, sd=0.1)
+    for t in (3, 63, 64, 127, 320, 640, 898):
+        v[t] += 12
+    w[256:258] -= 4
+    w[400:500] += np.random.default_rng(8).normal(0, 1.5, 100)
+    channels = {("r", 0): list(enumerate(v.tolist())), ("r", 1): list(enumerate(w.tolist()))}
+    whole = run(spark, channels)
+    assert {k for k, why in whole.items() if why == "spike"} == {*((0, t) for t in (3, 63, 64, 127, 320, 640, 898)), (1, 256), (1, 257)}
+    assert run(spark, channels, config=AnomalyConfig(block=64, margin=64, after=64)) == whole
