@@ -1,5 +1,8 @@
 """Finding and restoring text that was decoded with the wrong character encoding.
 
+Two kinds of swaps are undone: pairs of listed encodings, multi-byte ones among them, and mappings of single characters that
+are learned for a source from what the listed pairs leave unexplained (``ciphers``).
+
 A swap of code pages is a substitution cipher: every byte of the true encoding is shown as another encoding's character.
 Which swap took place is unknown and differs by source. The swaps' weights per source and the language's bigrams are
 learned together by expectation-maximization: given the bigrams, the runs of non-ASCII characters of a record speak for or
@@ -22,13 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from neurolith.functions.distributed import broadcast_if_small, cut_lineage
+from neurolith.llm import ciphers
 
 # Encodings that texts are written in or taken for.
 SINGLE = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp866", "mac_roman", "koi8_r", "iso8859_5")
 DOUBLE = ("gb18030", "big5")
-HAN = re.compile(r"[　-〿぀-ヿ㄀-ㄯ㈀-㋿㐀-䶿一-鿿가-힣豈-﫿︰-﹏！-￮-]")
-RUN = re.compile(r"[^\x00-\x7f�]+")
-CLASSED = re.compile(r"[　-〿぀-ヿ㄀-ㄯ㈀-㋿㐀-䶿一-鿿가-힣豈-﫿︰-﹏！-￮-]+|[^　-〿぀-ヿ㄀-ㄯ㈀-㋿㐀-䶿一-鿿가-힣豈-﫿︰-﹏！-￮-]+")
+HAN_CLASS = r"　-〿぀-ヿ㄀-ㄯ㈀-㋿㐀-䶿一-鿿가-힣豈-﫿︰-﹏！-￮-"
+HAN = re.compile(f"[{HAN_CLASS}]")
+CLASS_RUN = re.compile(rf"[{HAN_CLASS}]+|[^\x00-\x7f\ufffd{HAN_CLASS}]+")
 UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
 LOST = "�"
 #: Characters of no sound text: lost, private or control ones (the NULs of UTF-16 among them).
@@ -83,6 +88,16 @@ SWAPS = tuple(
 )
 
 
+#: Number of a source's learned mapping among the swaps, and the odds that it took place in a record.
+LEARNED, LEARNED_ODDS = len(SWAPS), 0.05
+#: Sources that have weights and mappings of their own; more are pooled by hash, so that what the driver holds is bounded.
+MOST_SOURCES = 4096
+
+
+def name_of(k: int) -> str:
+    return "learned" if k == LEARNED else "/".join(SWAPS[k])
+
+
 def _shown_bytes(run: str, read: str) -> bytes | None:
     if read in DOUBLE:
         try:
@@ -231,9 +246,8 @@ def gains(language: Language, weights: dict[int, float], before: str, run: str,
 
 def runs_of(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of the runs: non-ASCII characters, Han and the like apart from all others."""
-    for m in RUN.finditer(text):
-        for c in CLASSED.finditer(m.group()):
-            yield m.start() + c.start(), m.start() + c.end()
+    for m in CLASS_RUN.finditer(text):
+        yield m.span()
 
 
 QUOTE_AROUND = re.compile(r"[\s\"'“”„«»‘’()\[\]]")
@@ -249,48 +263,53 @@ COLUMNS = ["kind", "source", "a", "b", "n"]
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Symbols, bigrams with a non-ASCII symbol, and Han characters.
+    """Symbols, bigrams with a non-ASCII symbol (by source), and Han characters, each text by its share.
 
     Texts with characters of no sound text are left out, and so are signs that stand apart (often quoted garble)."""
     table = fold_table()
     for b in batches:
         single: Counter = Counter()
-        pair: Counter = Counter()
+        pairs: dict[str, Counter] = defaultdict(Counter)
         han: Counter = Counter()
-        for text in b["text"]:
+
+        def add(to: Counter, v: np.ndarray, n: np.ndarray, share: float) -> None:
+            to.update(dict(zip(v.tolist(), (n if share == 1.0 else n * share).tolist(), strict=True)))
+
+        for source, text, share in zip(b["source"], b["text"], b["share"], strict=True):
             if BROKEN.search(text):  # surely garbled: nothing to learn the language from
                 continue
+            pair = pairs[source]
             cp = np.frombuffer(("\n" + text + "\n").encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
             sym = table[np.minimum(cp, 0x20000)]
-            v, n = np.unique(sym, return_counts=True)
-            single.update(dict(zip(v.tolist(), n.tolist(), strict=True)))
+            add(single, *np.unique(sym, return_counts=True), share)
             at = np.flatnonzero((cp[:-1] > 127) | (cp[1:] > 127))
             if not at.size:
                 continue
-            v, n = np.unique(sym[at] << 21 | sym[at + 1], return_counts=True)
-            pair.update(dict(zip(v.tolist(), n.tolist(), strict=True)))
-            v, n = np.unique(cp[sym == 0x4E00], return_counts=True)
-            han.update(dict(zip(v.tolist(), n.tolist(), strict=True)))
+            add(pair, *np.unique(sym[at] << 21 | sym[at + 1], return_counts=True), share)
+            add(han, *np.unique(cp[sym == 0x4E00], return_counts=True), share)
             for s, e in runs_of(text):
                 if e - s > 1 and not text[s:e].isalpha() and not HAN.match(text[s]) and apart(text, s, e):
                     shown = [fold(ord(c)) for c in text[s - 1 : e + 1]] if s and e < len(text) else []
-                    pair.subtract(x << 21 | y for x, y in zip(shown[:-1], shown[1:], strict=True))
-                    single.subtract(shown[1:-1])
+                    for x, y in zip(shown[:-1], shown[1:], strict=True):
+                        pair[x << 21 | y] -= share
+                    for x in shown[1:-1]:
+                        single[x] -= share
         rows = [("single", None, k, 0, n) for k, n in single.items()]
-        rows += [("pair", None, k >> 21, k & 0x1FFFFF, n) for k, n in pair.items()]
+        rows += [("pair", s, k >> 21, k & 0x1FFFFF, n) for s, pair in pairs.items() for k, n in pair.items()]
         rows += [("han", None, k, 0, n) for k, n in han.items()]
         yield pd.DataFrame(rows, columns=COLUMNS).astype({"n": float})
 
 
 class Model:
-    """Language, the weights of swaps per source (other: of all sources), and the swaps shown by more than two characters."""
+    """Language, the weights of swaps per source (other: of all sources), the swaps shown by more than two characters, and the
+    learned mappings of sources."""
 
-    def __init__(self, language: Language, weights: dict[str, dict[int, float]], other: dict[int, float], shown: set[int] = frozenset()):
-        self.language, self.weights, self.other, self.shown = language, weights, other, shown
+    def __init__(self, language: Language, weights: dict[str, dict[int, float]], other: dict[int, float], shown: set[int] = frozenset(), tables: dict[str, dict[int, int]] | None = None):
+        self.language, self.weights, self.other, self.shown, self.tables = language, weights, other, shown, tables or {}
         self.seen: dict[tuple[str, str, str], dict[int, tuple[float, str]]] = {}
 
     def __getstate__(self):
-        return self.language.single, self.language.pair, self.language.han, self.weights, self.other, self.shown
+        return self.language.single, self.language.pair, self.language.han, self.weights, self.other, self.shown, self.tables
 
     def __setstate__(self, state):
         self.__init__(Language(*state[:3]), *state[3:])
@@ -361,7 +380,7 @@ def odds(found: Found, w: dict[int, float]) -> dict[int, float]:
                 most[k] = max(most.get(k, 0.0), v)
             else:
                 now.pop(k, None)
-    return {k: v + math.log(w[k]) for k, v in most.items()}
+    return {k: v + math.log(w.get(k, LEARNED_ODDS)) for k, v in most.items()}
 
 
 def beside_lost(text: str, s: int, e: int) -> bool:
@@ -377,19 +396,30 @@ def weigh(model: Model, source: str | None, text: str) -> tuple[Found, dict[int,
     control character, where nothing is sure, are passed over.
     """
     found: Found = []
-    for s, e in runs_of(text):
-        if beside_lost(text, s, e):
+    table = model.tables.get(source)
+    lost = bool(NOT_SOUND.search(text))
+    framed = f"\n{text}\n"
+    seen = model.seen
+    some = False
+    for m in CLASS_RUN.finditer(text):
+        s, e = m.span()
+        if lost and beside_lost(text, s, e):
             continue
-        key = (text[s - 1] if s else "\n", text[s:e], text[e] if e < len(text) else "\n")
-        g = model.seen.get(key)
+        key = (framed[s], m.group(), framed[e + 1])
+        g = seen.get(key)
         if g is None:
             g = gains(model.language, model.other, *key)
-            if len(model.seen) < 300_000 and e - s < 40:
-                model.seen[key] = g
-        if g and any(quoted(text, s, e, restored) for restored in [r for _, r in g.values()] + readings(text[s:e])):
-            continue
+            if len(seen) < 300_000 and e - s < 40:
+                seen[key] = g
+        if table and not HAN.match(key[1]) and (read := key[1].translate(table)) != key[1]:
+            gain = model.language.score(key[0], read, key[2]) - model.language.score(*key)
+            g = {**g, LEARNED: (gain, read)} if gain > 0 else g
+        if g:
+            if any(quoted(text, s, e, restored) for restored in [r for _, r in g.values()] + readings(key[1])):
+                continue
+            some = True
         found.append(((s, e), g))
-    return found, odds(found, model.weights.get(source, model.other))
+    return found, odds(found, model.weights.get(source, model.other)) if some else {}
 
 
 def stretches(found: Found, k: int, least: float = 3.0) -> list[int]:
@@ -446,7 +476,7 @@ def judge(model: Model, source: str | None, text: str, least: float = 1.0) -> tu
     for s, e in runs_of(text) if instead else ():
         if not beside_lost(text, s, e):
             continue
-        known = {k: w[k] for k in used}
+        known = {k: w[k] for k in used if k != LEARNED}
         part = gains(model.language, known, text[s - 1] if s else "\n", text[s:e], text[e] if e < len(text) else "\n")
         if part:
             instead[s, e] = max(part.values())[1]
@@ -454,7 +484,7 @@ def judge(model: Model, source: str | None, text: str, least: float = 1.0) -> tu
     for (s, e), good in sorted(instead.items()):
         out += [text[at:s], good]
         at = e
-    return True, "".join([*out, text[at:]]), "+".join([*names, *("/".join(SWAPS[k]) for k in used)])
+    return True, "".join([*out, text[at:]]), "+".join([*names, *map(name_of, used)])
 
 
 def _expect(model: Model):
@@ -466,18 +496,19 @@ def _expect(model: Model):
             pair: Counter = Counter()
             single: Counter = Counter()
             han: Counter = Counter()
+            source: str | None = None
 
             def add(before: str, text: str, after: str, n: float) -> None:
                 s = [ord(before), *map(ord, text), ord(after)]
                 f = [fold(c) for c in s]
                 for x, y in zip(f[:-1], f[1:], strict=True):
-                    pair[x, y] += n
+                    pair[source, x, y] += n
                 for c, x in zip(s[1:-1], f[1:-1], strict=True):
                     single[x] += n
                     if x == 0x4E00:
                         han[c] += n
 
-            for source, text in zip(b["source"], b["text"], strict=True):
+            for source, text, share in zip(b["source"], b["text"], b["share"], strict=True):
                 found, total = weigh(model, source, text)
                 whole = sum(math.exp(min(60.0, t)) for t in total.values())
                 best = max(total, key=total.get, default=None)
@@ -488,16 +519,16 @@ def _expect(model: Model):
                 alone = lone(found, best)
                 if math.log(whole) < (-4.0 if SWAPS[best][1] == "utf_8" else -1.5 if best in model.shown else 4.0 * alone):
                     continue
-                uses["lone" if alone else "use", source, best] += 1.0
+                uses["lone" if alone else "use", source, best] += share
                 if BROKEN.search(text):  # these are not among the counts that are changed here
                     continue
                 for i in stretches(found, best):
                     (s, e), g = found[i]
                     before, after = text[s - 1] if s else "\n", text[e] if e < len(text) else "\n"
-                    add(before, text[s:e], after, -1.0)
-                    add(before, g[best][1], after, 1.0)
+                    add(before, text[s:e], after, -share)
+                    add(before, g[best][1], after, share)
             rows = [(kind, s, k, 0, n) for (kind, s, k), n in uses.items()]
-            rows += [("pair", None, x, y, n) for (x, y), n in pair.items()]
+            rows += [("pair", s, x, y, n) for (s, x, y), n in pair.items()]
             rows += [("single", None, x, 0, n) for x, n in single.items()]
             rows += [("han", None, x, 0, n) for x, n in han.items()]
             yield pd.DataFrame(rows, columns=COLUMNS).astype({"n": float})
@@ -505,36 +536,65 @@ def _expect(model: Model):
     return run
 
 
+def _summed(*parts: DataFrame) -> dict[str, dict]:
+    """Counts of all sources together: at most an alphabet's symbols and pairs of them."""
+    out: dict[str, dict] = {"single": {}, "pair": {}, "han": {}}
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    for r in whole.filter("kind in ('single', 'pair', 'han')").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["kind"]][(r["a"], r["b"]) if r["kind"] == "pair" else r["a"]] = r["n"]
+    return out
+
+
+def learned_tables(left: DataFrame, now: dict[str, dict]) -> dict[str, dict[int, int]]:
+    """The learned mapping of each source that has one, from the pairs that the listed swaps leave (source, a, b, n); changes the
+    bigrams in ``now`` accordingly."""
+    single, pair, whole = now["single"], now["pair"], sum(now["pair"].values())
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        table, changes = ciphers.learn_table(pdf, single, pair, whole)
+        rows = [("map", pdf["source"].iloc[0], a, b, 0.0) for a, b in table.items()] + [("pair", pdf["source"].iloc[0], a, b, n) for a, b, n in changes.itertuples(index=False)]
+        return pd.DataFrame(rows, columns=COLUMNS).astype({"a": "int64", "b": "int64", "n": float})
+
+    tables: dict[str, dict[int, int]] = defaultdict(dict)
+    for r in left.groupBy("source").applyInPandas(run, COUNTS).toLocalIterator():
+        a, b, n = r["a"], r["b"], r["n"]
+        if r["kind"] == "map":
+            tables[r["source"]][a] = b
+        else:
+            pair[a, b] = pair.get((a, b), 0.0) + n
+            single[a] = single.get(a, 0.0) + (n if a > 127 else 0.0)
+    return dict(tables)
+
+
 def learn(texts: DataFrame, rounds: int = 4, prior: float = 0.02) -> Model:
-    """Fits the model to all texts (source, text), both not null.
+    """Fits the model to all texts (source, text[, share: how much a text counts, 1 by default]), none null.
 
     Every round is one pass over the texts that are not plain ASCII. A swap's weight is the share of a source's records that
     it explains, drawn towards its share of all records. Swaps that explain no record are dropped after the second round,
-    when the bigrams have settled. Ends early if a round changes nothing.
+    when the bigrams have settled. Ends early if a round changes nothing. At last, mappings are learned from what is left.
     """
+    texts = texts if "share" in texts.columns else texts.withColumn("share", F.lit(1.0))
+    texts = texts.select("source", "text", "share")
     plain = F.col("text").rlike(SOUND_ASCII)
-    counts = texts.select("source", "text").mapInPandas(_count, COUNTS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-    base: dict[str, dict] = {"single": {}, "pair": {}, "han": {}}
-    for r in counts.toLocalIterator():
-        base[r["kind"]][(r["a"], r["b"]) if r["kind"] == "pair" else r["a"]] = r["n"]
-    sizes = {r["source"]: r["n"] for r in texts.groupBy("source").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+    counts = cut_lineage(texts.mapInPandas(_count, COUNTS).groupBy("kind", "source", "a", "b").agg(F.sum("n").alias("n")))
+    base = _summed(counts)
+    sizes = {r["source"]: r["n"] for r in texts.groupBy("source").agg(F.sum("share").alias("n")).toLocalIterator()}
     whole = sum(sizes.values()) or 1
     checked = [k for k, (_, true) in enumerate(SWAPS) if true == "utf_8"]  # bytes that are valid UTF-8 hardly arise by chance
     other = {k: prior / 2 / len(checked) if k in checked else prior / 2 / (len(SWAPS) - len(checked)) for k in range(len(SWAPS))}
     model = Model(Language(base["single"], base["pair"], base["han"]), {}, other)
     last: dict[str, dict[int, float]] = {}
+    now, got = base, counts
     for i in range(rounds):
-        got = texts.filter(~plain).select("source", "text").mapInPandas(_expect(model), COUNTS).groupBy("kind", "source", "a", "b").agg(F.sum("n").alias("n"))
-        now = {k: dict(v) for k, v in base.items()}
+        got = cut_lineage(texts.filter(~plain).mapInPandas(_expect(model), COUNTS).groupBy("kind", "source", "a", "b").agg(F.sum("n").alias("n")))
+        now = _summed(counts, got)
         uses: dict[str, dict[int, float]] = defaultdict(lambda: defaultdict(float))
         shown = set()
-        for r in got.toLocalIterator():
-            if r["kind"] in ("use", "lone"):
-                uses[r["source"]][r["a"]] += r["n"]
-                shown |= {r["a"]} if r["kind"] == "use" else set()
-            else:
-                key = (r["a"], r["b"]) if r["kind"] == "pair" else r["a"]
-                now[r["kind"]][key] = now[r["kind"]].get(key, 0.0) + r["n"]
+        for r in got.filter("kind in ('use', 'lone')").toLocalIterator():
+            uses[r["source"]][r["a"]] += r["n"]
+            shown |= {r["a"]} if r["kind"] == "use" else set()
         used = {k: sum(u.get(k, 0.0) for u in uses.values()) if k in shown else 0.0 for k in other}
         if i >= 1:
             used = {k: n for k, n in used.items() if n > 0.5}
@@ -544,7 +604,9 @@ def learn(texts: DataFrame, rounds: int = 4, prior: float = 0.02) -> Model:
         if i >= 2 and uses == last:  # nothing moves any more
             break
         last = uses
-    return model
+    left = counts.unionByName(got).filter("kind = 'pair'").groupBy("source", "a", "b").agg(F.sum("n").alias("n"))
+    tables = learned_tables(left, now)
+    return Model(Language(now["single"], now["pair"], now["han"]), model.weights, model.other, model.shown, tables) if tables else model
 
 
 RESULT = "table_name string, record_id string, garbled boolean, restored string, swap string"
@@ -573,9 +635,16 @@ def texts_of(chunks: DataFrame, materials: DataFrame) -> DataFrame:
 def garbled(texts: DataFrame) -> DataFrame:
     """(table_name, record_id, garbled, restored, swap) of the garbled records; swap null: only lost characters.
 
-    A text delivered again with the same id counts once while learning (by its smallest source), is judged each time and listed
-    once per content. Null and empty texts are sound. The model is fitted to all texts; plain ASCII texts take part in the
+    A text delivered again with the same id counts once in all while learning (each delivery by its part), is judged each time and
+    listed once per content. Null and empty texts are sound. The model is fitted to all texts; plain ASCII texts take part in the
     bigrams and are sound.
     """
-    model = learn(texts.groupBy("table_name", "record_id", "text").agg(F.min("source").alias("source")))
+    sources = texts.select("source").distinct().limit(MOST_SOURCES + 1).count()
+    if sources > MOST_SOURCES:
+        texts = texts.withColumn("source", F.concat(F.lit("pool/"), F.pmod(F.xxhash64("source"), F.lit(MOST_SOURCES)).cast("string")))
+    # texts delivered again are told by narrow rows, so that no text is shuffled
+    key = F.xxhash64("table_name", "record_id", "text")
+    again = cut_lineage(texts.select(key.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
+    shared = texts.withColumn("key", key).join(broadcast_if_small(again), "key", "left").withColumn("share", 1.0 / F.coalesce("times", F.lit(1)))
+    model = learn(shared.select("source", "text", "share"))
     return texts.filter(~F.col("text").rlike(SOUND_ASCII)).mapInPandas(_apply(model), RESULT).dropDuplicates(["table_name", "record_id", "restored"])

@@ -119,3 +119,44 @@ def test_what_survives_beside_lost_characters_is_restored(model):
     assert en.beside_lost("\u00c3\u00a4\ufffd", 0, 2)
     found, restored, swaps = en.judge(model, "chunks/b", shown)
     assert found and restored == sentence("de", 904) + " Gr\u00f6\ufffd und \u00fcbe\ufffd \u00e4\ufffd" and swaps == "cp1252/utf_8"
+
+
+RUSSIAN = "прибор показывал дрейф левой лобной области больше чем правой во время записи сигнал датчика был слабее обычного поэтому запись повторили после перерыва участник закрыл глаза и отдыхал измерение началось утром канал затылочной доли отключили из-за помех оператор отметил движение головы в журнале данные сохранили в общем архиве".split()
+FRENCH = "après la séance l’écart entre les tâches était très inférieur à celui du début élève âgé fenêtre dégagée où le signal a été mesuré à côté de la région préfrontale première étape complète modèle entraîné répété même période".split()
+
+
+def shuffled(words, n):
+    rng = random.Random(n)
+    return " ".join(rng.choice(words) for _ in range(28)).capitalize() + f" {n}."
+
+
+def test_a_mapping_outside_the_list_is_learned_for_its_source(spark):
+    assert not {"mac_cyrillic", "cp852", "cp775"} & {c for swap in en.SWAPS for c in swap}
+    rows = [("chunks", f"{i}{n}", "chunks/a", shuffled(w, n)) for i, w in (("r", RUSSIAN), ("f", FRENCH)) for n in range(150)]
+    rows += [("chunks", f"{lang}{n}", "chunks/a", sentence(lang, n)) for lang in ("de", "es", "zh", "en") for n in range(60)]
+    # a page that nobody knows: the Cyrillic letters in an order of its own
+    letters = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    own = dict(zip(letters, random.Random(4).sample("ĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĲĴĶĹĻĽĿŁ", len(letters)), strict=True))
+    made = {"mac": lambda t: swap(t, "mac_cyrillic", "cp1252"), "own": lambda t: "".join(own.get(c, c) for c in t.lower())}
+    bad = {}
+    for name, garble in made.items():
+        for n in range(80):
+            good = shuffled(RUSSIAN, 1000 + n)
+            bad[f"{name}{n}"] = (garble(good), good if name == "mac" else good.lower())
+        rows += [("chunks", i, f"chunks/{name}", t) for i, (t, _) in bad.items() if i.startswith(name)]
+        rows += [("chunks", f"sound-{name}{n}", f"chunks/{name}", shuffled(FRENCH, 2000 + n)) for n in range(20)]
+    df = spark.createDataFrame(rows, "table_name string, record_id string, source string, text string")
+    got = {r.record_id: r for r in en.garbled(df).collect()}
+    assert set(got) == set(bad)
+    common = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / len(b)
+    for name in made:
+        right = [common(got[i].restored, good) for i, (_, good) in bad.items() if i.startswith(name)]
+        assert min(len(got[i].restored) == len(good) for i, (_, good) in bad.items()) and sum(right) / len(right) > 0.95
+    assert {got[i].swap for i in bad if i.startswith("own")} == {"learned"}
+
+
+def test_a_language_of_one_source_only_is_not_taken_for_garble(spark):
+    rows = [("chunks", f"f{n}", "chunks/a", shuffled(FRENCH, n)) for n in range(120)] + [("chunks", f"d{n}", "chunks/a", sentence("de", n)) for n in range(60)]
+    rows += [("chunks", f"r{n}", "chunks/ru", shuffled(RUSSIAN, n)) for n in range(120)]
+    df = spark.createDataFrame(rows, "table_name string, record_id string, source string, text string")
+    assert en.garbled(df).count() == 0
