@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,6 +43,8 @@ NOT_SOUND = re.compile(r"[�\x00-\x08\x0e-\x1a\x1c-\x1f\ue000-\uf8ff]")
 SOUND_ASCII = r"^[\t\n\f\r\x20-\x7e]*$"
 #: Taken off every count, so that a run seen once doesn't speak for itself.
 DISCOUNT = 0.9
+#: Most that a step can add to a log probability.
+MOST_STEP = 0.7
 
 
 @lru_cache(maxsize=None)
@@ -215,32 +218,60 @@ class Language:
             p *= (max(self.han.get(b, 0.0) - DISCOUNT, 0.0) + 0.02) / self.all_han
         elif y in (0xAC00, 0xE000):
             p *= 1e-3
-        out = math.log(max(p, 1e-18))
+        out = min(math.log(max(p, 1e-18)), MOST_STEP)
         if len(self.known) < 500_000:
             self.known[a, b] = out
         return out
 
-    def score(self, before: str, run: str, after: str) -> float:
-        s = [ord(before), *map(ord, run), ord(after)]
-        return sum(map(self.step, s[:-1], s[1:]))
+    def score(self, before: str, run: str, after: str, least: float = -math.inf) -> float:
+        """Log probability of a run between two characters; anything below ``least`` once it cannot reach that any more (a step
+        adds at most ``MOST_STEP``)."""
+        known, last, total = self.known, ord(before), 0.0
+        slack = least - MOST_STEP * (len(run) + 1)
+        for c in (*map(ord, run), ord(after)):
+            p = known.get((last, c))
+            total += self.step(last, c) if p is None else p
+            slack += MOST_STEP
+            if total < slack:
+                break
+            last = c
+        return total
+
+
+@lru_cache(maxsize=1)
+def by_reading() -> dict[bool, list[tuple[str, list[int]]]]:
+    """Numbers of the swaps by the encoding that was read, those of Han and the like (True) apart."""
+    out: dict[bool, dict[str, list[int]]] = {True: {}, False: {}}
+    for k, (read, _) in enumerate(SWAPS):
+        out[read in DOUBLE].setdefault(read, []).append(k)
+    return {han: list(v.items()) for han, v in out.items()}
 
 
 def gains(language: Language, weights: dict[int, float], before: str, run: str, after: str) -> dict[int, tuple[float, str]]:
     """Of each swap that improves the run: log odds against the run as it is (without the swap's weight), and the text."""
     out = {}
     own = None
-    han = bool(HAN.match(run))
-    for k in weights:
-        read = SWAPS[k][0]
-        if han != (read in DOUBLE):
-            continue
-        text = undo_all(run, SWAPS[k])
-        if text is None or text == run:
+    points = set(map(ord, run))
+    for read, numbers in by_reading()[bool(HAN.match(run))]:
+        if read in SINGLE and not to_bytes(read).keys() >= points:
             continue
-        own = language.score(before, run, after) if own is None else own
-        gain = language.score(before, text, after) - own
-        if gain > 0:
-            out[k] = (gain, text)
+        for k in numbers:
+            if k not in weights:
+                continue
+            true = SWAPS[k][1]
+            if read in SINGLE and true in SINGLE:
+                table = cipher(read, true)
+                text = run.translate(table) if table.keys() >= points else None
+            elif read in SINGLE and len(run) == 1:  # one byte above ASCII is no character of a multi-byte encoding
+                continue
+            else:
+                text = undo_all(run, SWAPS[k])
+            if text is None or text == run:
+                continue
+            own = language.score(before, run, after) if own is None else own
+            gain = language.score(before, text, after, own) - own
+            if gain > 0:
+                out[k] = (gain, text)
     return out
 
 
@@ -307,14 +338,22 @@ class Model:
     def __init__(self, language: Language, weights: dict[str, dict[int, float]], other: dict[int, float], shown: set[int] = frozenset(), tables: dict[str, dict[int, int]] | None = None):
         self.language, self.weights, self.other, self.shown, self.tables = language, weights, other, shown, tables or {}
         self.seen: dict[tuple[str, str, str], dict[int, tuple[float, str]]] = {}
+        self.stamp = uuid.uuid4().hex
 
     def __getstate__(self):
-        return self.language.single, self.language.pair, self.language.han, self.weights, self.other, self.shown, self.tables
+        return self.stamp, (self.language.single, self.language.pair, self.language.han), self.weights, self.other, self.shown, self.tables
 
     def __setstate__(self, state):
-        self.__init__(Language(*state[:3]), *state[3:])
+        stamp, counts, *rest = state
+        if stamp not in LAST_MODEL:  # the tasks of a worker share what they found out
+            self.__init__(Language(*counts), *rest)
+            self.stamp = stamp
+            LAST_MODEL.clear()
+            LAST_MODEL[stamp] = self
+        self.__dict__ = LAST_MODEL[stamp].__dict__
 
 
+LAST_MODEL: dict[str, Model] = {}
 OPENING, CLOSING = "“„«\"‘'‚", "”“»\"’'"
 
 
