@@ -22,10 +22,12 @@ def source_name(source: Column) -> Column:
 
 
 def subset_sum(counts: dict[int, int], budget: int, window: int = 1 << 15) -> dict[int, int]:
-    """How many of each length to take so that the sum is as close below ``budget`` as the lengths allow.
+    """How many of each length to take so that the sum comes close below ``budget``.
 
-    First the same part of every length count, rounded down, then the largest lengths that still fit until less than
-    ``window`` is missing, then an exact bounded knapsack for the rest (a bit set per item; counts in binary parts).
+    First the same part of every length count, rounded down, then the largest lengths that still fit until at most about
+    ``window`` is missing, then an exact bounded knapsack over all documents left for the rest (a bit set per item; counts in binary
+    parts). The knapsack is exact for that rest; as the first two steps are not taken back, the sum is the best of all only
+    where the budget is below ``window``. What can be missing at last is less than the shortest document left, else nothing fits.
     """
     total = sum(n * c for n, c in counts.items())
     if budget >= total:

@@ -26,12 +26,16 @@ LEVELS = (
 )
 
 
+#: Marks on one letter that a hard cut is moved back over; longer stacks are cut.
+MOST_MARKS = 16
+
+
 def _characters(text: str, a: int, b: int, room: int) -> list[int]:
-    """Hard cuts, moved back over combining marks, joiners and the line feed of a CR LF."""
+    """Hard cuts, moved back over at most ``MOST_MARKS`` combining marks, joiners and the line feed of a CR LF."""
     out = []
     while b - a > room:
         cut = a + room
-        for _ in range(16):
+        for _ in range(MOST_MARKS):
             c = text[cut]
             if cut > a + 1 and (unicodedata.combining(c) or c in "‍️" or text[cut - 1] == "‍" or (c == "\n" and text[cut - 1] == "\r")):
                 cut -= 1

@@ -131,9 +131,10 @@ def split_epochs(recordings: DataFrame, epochs: DataFrame, links: DataFrame, exp
     assignment handles at most 3 x ``items`` rows per label, however many people a dataset has. Experiments without a dataset have
     no rows. Deterministic in the experiment's seed.
     """
-    g = cut_lineage(epoch_groups(recordings, epochs, links).filter("epoch_id is not null"))
+    g = epoch_groups(recordings, epochs, links).filter("epoch_id is not null")
     data = recordings.filter("dataset_id is not null").groupBy("recording_id").agg(F.min("dataset_id").alias("dataset_id"))
     e = g.join(data, "recording_id").select("epoch_id", "dataset_id", "group", F.coalesce(F.col("label").cast("string"), F.lit("none")).alias("label"))
+    e = cut_lineage(e)
     counts = e.groupBy("dataset_id", "group", "label").agg(F.countDistinct("epoch_id").alias("n"))
     whole = counts.groupBy("dataset_id").agg(F.sum("n").alias("all"))
     weight = counts.groupBy("dataset_id", "group").agg(F.sum("n").alias("own"))
@@ -153,4 +154,7 @@ def split_epochs(recordings: DataFrame, epochs: DataFrame, links: DataFrame, exp
 
     chosen = x.join(totals, "dataset_id").groupBy("experiment_id").applyInPandas(assign, "experiment_id string, dataset_id string, item string, split string")
     placed = chosen.join(members, ["dataset_id", "item"]).select("experiment_id", "dataset_id", "group", "split")
-    return placed.join(e.select("dataset_id", "group", "epoch_id").distinct(), ["dataset_id", "group"]).select("experiment_id", "epoch_id", "split")
+    # one row per group with the splits of all experiments on its dataset, so that large groups can be spread
+    splits = placed.groupBy("dataset_id", "group").agg(F.collect_list(F.struct("experiment_id", "split")).alias("x"))
+    ids, keys = e.select("dataset_id", "group", "epoch_id").distinct(), ["dataset_id", "group"]
+    return lookup(ids, splits, keys, hot_keys(e, keys)).select(F.explode("x").alias("x"), "epoch_id").select("x.experiment_id", "epoch_id", "x.split")
