@@ -63,13 +63,19 @@ def _long(rows: DataFrame) -> DataFrame:
 
 
 def train_moments(rows: DataFrame) -> DataFrame:
-    """(fold, f, n, mean, sd) over each fold's training rows; a standard deviation of 0 counts as 1."""
-    part = _long(rows).groupBy("fold", "f").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    all_ = part.groupBy("f").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.sum("q").alias("all_q"))
-    m = part.join(all_, "f").filter("all_n > n").select("fold", "f", (F.col("all_n") - F.col("n")).alias("n"), (F.col("all_s") - F.col("s")).alias("s"), (F.col("all_q") - F.col("q")).alias("q"))
-    m = m.withColumn("mean", F.col("s") / F.col("n"))
-    sd = F.sqrt(F.greatest(F.col("q") / F.col("n") - F.col("mean") * F.col("mean"), F.lit(0.0)))
-    return m.select("fold", "f", "n", "mean", F.when(sd < 1e-12, 1.0).otherwise(sd).alias("sd"))
+    """(fold, f, n, mean, sd) over each fold's training rows; a standard deviation of 0 counts as 1.
+
+    Sums of squares are kept about means (of a fold, of all rows), so that a large offset of a feature does not cancel them out.
+    """
+    part = _long(rows).groupBy("fold", "f").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("v")).alias("m2"))
+    centre = part.groupBy("f").agg(F.sum("n").alias("all_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("all_mean"))
+    x = part.join(centre, "f").withColumn("d", F.col("mean") - F.col("all_mean"))
+    whole = x.groupBy("f").agg(F.sum(F.col("m2") + F.col("n") * F.col("d") * F.col("d")).alias("all_m2"))
+    left = F.col("all_n") - F.col("n")
+    shift = -F.col("n") * F.col("d") / left  # of the training mean from the mean of all
+    rest = F.col("all_m2") - F.col("m2") - F.col("n") * F.col("d") * F.col("d") - left * shift * shift
+    m = x.join(whole, "f").filter("all_n > n").select("fold", "f", left.alias("n"), (F.col("all_mean") + shift).alias("mean"), F.sqrt(F.greatest(rest, F.lit(0.0)) / left).alias("sd"))
+    return m.withColumn("sd", F.when(F.col("sd") < 1e-12, 1.0).otherwise(F.col("sd")))
 
 
 def centroids(rows: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ TOKENS = re.compile(r"[\w一-鿿]+")
 
 def hash_counts(text: str, dim: int) -> dict[int, float]:
     """Bucket weights of a text: tokens of up to two characters and trigrams of longer ones, hashed by BLAKE2b (8 bytes,
-    little-endian) modulo ``dim`` (at least 64), counted and scaled to length 1. Blank: none."""
+    little-endian) modulo ``dim`` (at least 64), counted and scaled to length 1, in ascending order. Blank: none."""
     dim = max(dim, 64)
     text = " ".join(text.lower().split())
     grams: Counter = Counter()
@@ -27,7 +27,7 @@ def hash_counts(text: str, dim: int) -> dict[int, float]:
         for g in [token] if len(token) <= 2 else (token[i : i + 3] for i in range(len(token) - 2)):
             grams[int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "little") % dim] += 1
     norm = sum(v * v for v in grams.values()) ** 0.5
-    return {k: v / norm for k, v in grams.items()}
+    return {k: v / norm for k, v in sorted(grams.items())}
 
 
 def hash_embedding(docs: DataFrame, id_col: str, text_col: str, dim: int = 4096) -> DataFrame:
@@ -80,11 +80,14 @@ def _ranked(hits: DataFrame | None, empty: DataFrame, k: int) -> DataFrame:
 def hash_search(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k: int = 4, dim: int = 4096, block: int = QUERIES_PER_SCAN // 16) -> DataFrame:
     """(query_id, id, score, rn): the k best texts for each query text by hash embeddings, exactly.
 
-    Like ``top_k``; a text is hashed once per scan, and its vector exists only while it is scored. Blank queries and texts have no
+    Like ``top_k``; a text is hashed once per scan, and its vector exists only while it is scored. Where the rows have stored vectors
+    (buckets, weights of the same dimension, as an index has them), these are used. Blank queries and texts have no
     hits. The best hit counts whatever its score, others only above 0.
     """
     k, dim = max(k, 1), max(dim, 64)
-    named = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
+    stored = {"buckets", "weights"} <= set(docs.columns)
+    own = ["buckets", "weights"] if stored else [F.col(text_col).alias("t")]
+    named = docs.filter(F.col("buckets" if stored else text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), *own)
     asked = queries.filter(F.col(query_text).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).cast("string").alias("q"), F.col(query_text).alias("t"))
 
     def score(shared):
@@ -92,11 +95,12 @@ def hash_search(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str,
             names, matrix = shared.value
             best_s, best_i = np.full((len(names), 0), -np.inf), np.zeros((len(names), 0), object)
             for b in batches:
-                for part in _parts(zip(b.column("id").to_pylist(), b.column("t").to_pylist(), strict=True), 512):
-                    got = [(i, v) for i, t in part if (v := hash_counts(t, dim))]
+                for part in _parts(zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True), 512):
+                    vectors = [(r[0], r[1], r[2]) if stored else (r[0], list(v := hash_counts(r[1], dim)), list(v.values())) for r in part]
+                    got = [(i, at, w) for i, at, w in vectors if at]
                     if got:
-                        cols = [matrix[list(v)].T @ np.fromiter(v.values(), float) for _, v in got]
-                        best_s, best_i = _best(np.stack(cols, 1), np.array([i for i, _ in got], object), best_s, best_i, k)
+                        cols = [matrix[at].T @ np.asarray(w, float) for _, at, w in got]
+                        best_s, best_i = _best(np.stack(cols, 1), np.array([i for i, _, _ in got], object), best_s, best_i, k)
             n = best_s.shape[1]
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n).tolist()), pa.array(best_i.ravel().tolist()), pa.array(best_s.ravel())], names=["query_id", "id", "score"])

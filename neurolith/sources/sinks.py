@@ -51,15 +51,20 @@ def result_json(predictions: DataFrame, accuracy: DataFrame, confusion: DataFram
     return x.select(F.to_json(F.struct("n_samples", F.round("accuracy", 4).alias("accuracy"), "folds", "confusion")).alias("json"))
 
 
-def report(result: DataFrame, top: DataFrame | None = None) -> DataFrame:
-    """One row with a markdown report of ``result_json``; missing values print as N/A."""
+NOTE = "The figures describe the recordings at hand and this classifier only; they are no basis for decisions about people."
+
+
+def report(result: DataFrame, top: DataFrame | None = None, config: dict | None = None, note: str = NOTE) -> DataFrame:
+    """One row with a markdown report of ``result_json``: overview, folds, the top channels, the settings and a note on limits;
+    missing values print as N/A, missing parts say so."""
     r = result.select(F.from_json("json", "n_samples bigint, accuracy double, folds array<struct<fold:string,n:bigint,accuracy:double>>").alias("r"))
     show = lambda c: F.coalesce(c.cast("string"), F.lit("N/A"))
     lines = F.array_join(F.transform("r.folds", lambda f: F.concat(F.lit("| "), show(f["fold"]), F.lit(" | "), show(f["n"]), F.lit(" | "), show(F.round(f["accuracy"], 4)), F.lit(" |"))), "\n")
     head = F.concat(F.lit("# Experiment\n\n- samples: "), show(F.col("r.n_samples")), F.lit("\n- accuracy: "), show(F.col("r.accuracy")), F.lit("\n\n## Folds\n\n| fold | n | accuracy |\n|---|---|---|\n"))
-    out = r.select(F.concat(head, F.coalesce(lines, F.lit("N/A"))).alias("report"))
+    tail = "\n\n## Settings\n\n```json\n" + json.dumps(config or {}, ensure_ascii=False, indent=2, sort_keys=True) + "\n```\n\n## Limits\n\n" + note
     if top is None:
-        return out
+        return r.select(F.concat(head, F.coalesce(lines, F.lit("N/A")), F.lit("\n\n## Channels\n\n- no explanation" + tail)).alias("report"))
     best = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("o"), "idx", "importance"))).alias("t"))
     text = F.array_join(F.transform("t", lambda x: F.concat(F.lit("- channel "), x["idx"].cast("string"), F.lit(": "), F.round(x["importance"], 6).cast("string"))), "\n")
-    return out.withColumn("_k", F.lit(1)).join(best.withColumn("_k", F.lit(1)), "_k").select(F.concat("report", F.lit("\n\n## Channels\n\n"), text).alias("report"))
+    out = r.select(F.concat(head, F.coalesce(lines, F.lit("N/A"))).alias("report")).withColumn("_k", F.lit(1)).join(best.withColumn("_k", F.lit(1)), "_k")
+    return out.select(F.concat("report", F.lit("\n\n## Channels\n\n"), text, F.lit(tail)).alias("report"))

@@ -205,3 +205,26 @@ def test_document_formats(spark, tmp_path):
 def test_names_are_weighed_by_rules_of_their_own():
     assert texts.repaired_name("报告.md".encode().decode("latin-1")) == "报告.md"
     assert texts.repaired_name("Ã¼ber.md") == "über.md" and texts.repaired_name("plain.md") == "plain.md"
+
+
+def test_sqlite_tables(spark, tmp_path):
+    import sqlite3
+
+    from neurolith.sources import sqlite
+
+    path = str(tmp_path / "meta.db")
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE jobs (id TEXT, progress REAL, n INTEGER, raw BLOB, loose)")
+        c.executemany("INSERT INTO jobs VALUES (?, ?, ?, ?, ?)", [(f"j{i}", i / 2, i, b"x", i) for i in range(25)] + [(None, None, None, None, None), ("odd", "text", "7", "y", 1.5)])
+        c.execute("CREATE TABLE keyed (k TEXT PRIMARY KEY) WITHOUT ROWID")
+        c.execute("INSERT INTO keyed VALUES ('a')")
+        c.execute("CREATE TABLE empty (k TEXT)")
+    sqlite.register(spark)
+    load = lambda t, **o: spark.read.format("sqlite").options(path=path, table=t, **o).load()
+    df = load("jobs", rows_per_partition="10")
+    assert df.rdd.getNumPartitions() == 3 and df.count() == 27 and dict(df.dtypes) == {"id": "string", "progress": "double", "n": "bigint", "raw": "binary", "loose": "string"}
+    odd = df.filter("id = 'odd'").first()
+    assert (odd.progress, odd.n, bytes(odd.raw), odd.loose) == (None, 7, b"y", "1.5") and df.filter("id is null").first().n is None
+    assert load("keyed").collect()[0].k == "a" and load("empty").count() == 0
+    with pytest.raises(Exception, match="no table"):
+        load("absent")

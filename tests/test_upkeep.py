@@ -133,3 +133,21 @@ def test_experiments_by_strategy(spark):
         ex.run(rows.filter("label = 1"), "epoch_id")
     with pytest.raises(ex.ExperimentError):
         ex.strategy_name("lottery")
+
+
+def test_search_over_stored_vectors_equals_hashing_anew(spark):
+    from neurolith.operators import retrieval as rt
+
+    c = spark.createDataFrame([(f"c{i}", f"run {i % 5} of the wavelet cleaning {i}") for i in range(30)] + [("blank", " ")], "chunk_id string, content string")
+    q = spark.createDataFrame([("q1", "wavelet run 3"), ("q2", "cleaning 17"), ("q3", "")], "q string, s string")
+    want = sorted(map(tuple, rt.hash_search(c, q, "chunk_id", "content", "q", "s", 3, 256).collect()))
+    stored = ix.embedded(c, 256)
+    assert sorted(map(tuple, rt.hash_search(stored, q, "chunk_id", "content", "q", "s", 3, 256).collect())) == want and len(want) == 6
+
+
+def test_moments_survive_a_large_offset(spark):
+    from neurolith.operators import prototype as pt
+
+    rows = spark.createDataFrame([(i % 2, f"s{i % 3}", [1e9 + i % 4]) for i in range(24)], "label int, grp string, x array<double>")
+    got = pt.train_moments(pt.leave_one_group_out(rows)).collect()
+    assert len(got) == 3 and all(abs(r.sd - 1.25**0.5) < 1e-6 and abs(r["mean"] - 1e9 - 1.5) < 1e-6 for r in got)
