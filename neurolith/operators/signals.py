@@ -239,27 +239,27 @@ def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray, sections: list[tuple
 
 
 def band_pass(x: DataFrame, rates: DataFrame, low: float | None, high: float | None, method: str = "fft", order: int = 3) -> DataFrame:
-    """Band-passed channels. ``rates``: (recording_id, rate). method: fft, or butterworth (zero phase; a channel that is too
-    short for it is filtered by fft).
+    """Band-passed channels. ``rates``: (recording_id, rate). method: fft, or butterworth (zero phase, in blocks; a channel that is
+    too short for it is filtered by fft).
 
-    A channel is filtered as a whole, as its transform needs; that is the one operator whose task holds a whole channel.
-    Channels without a positive rate are left out. Both cutoffs None: unchanged.
+    The Fourier transform needs a whole channel; that is the one operator whose task holds one. Channels without a positive rate are
+    left out. Both cutoffs None: unchanged.
     """
     if low is None and high is None:
         return x
+    known = rates.filter("rate > 0").select("recording_id", F.col("rate").cast("double").alias("rate"))
+    if method == "butterworth":
+        from neurolith.operators.filters import zero_phase_blocks
+
+        done, short = zero_phase_blocks(x, known, low, high, order)
+        return done.unionByName(band_pass(short, known, low, high))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        v, rate = pdf["v"].to_numpy(float), float(pdf["rate"].iloc[0])
-        try:
-            if method != "butterworth":
-                raise ValueError
-            out = zero_phase(*butterworth_sections(order, low, high, rate), v, cascade(*butterworth_roots(order, low, high, rate)))
-        except ValueError:
-            out = fft_band(v, rate, low, high)
+        out = fft_band(pdf["v"].to_numpy(float), float(pdf["rate"].iloc[0]), low, high)
         return pd.DataFrame({"recording_id": pdf["recording_id"], "channel_idx": pdf["channel_idx"], "t": pdf["t"], "v": out})
 
-    return x.join(rates.filter("rate > 0"), "recording_id").groupBy(*CHANNEL).applyInPandas(run, "recording_id string, channel_idx int, t int, v double")
+    return x.join(known, "recording_id").groupBy(*CHANNEL).applyInPandas(run, "recording_id string, channel_idx int, t int, v double")
 
 
 def demo_recording(subjects: int = 6, trials: int = 6, channels: int = 16, samples: int = 160, rate: float = 10.0, seed: int = 42) -> tuple[pd.DataFrame, pd.DataFrame]:

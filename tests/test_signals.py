@@ -144,3 +144,21 @@ def test_cascade_equals_the_filter_sample_by_sample():
         whole = sg.zero_phase(b, a, x)
         parts = sg.zero_phase(b, a, x, sg.cascade(*sg.butterworth_roots(order, low, high, 10.0)))
         assert np.abs(whole - parts).max() < 1e-6 * np.abs(whole).max()
+
+
+@pytest.mark.parametrize(("low", "high"), [(0.05, 0.5), (None, 0.4), (0.1, None)])
+def test_filters_in_blocks_equal_those_of_whole_channels(spark, low, high):
+    from neurolith.operators.filters import zero_phase_blocks
+
+    rng = np.random.default_rng(9)
+    channels = {("a", 0): rng.normal(size=700).cumsum(), ("a", 1): rng.normal(size=64), ("b", 0): rng.normal(size=23), ("b", 1): rng.normal(size=5)}
+    rows = [(r, c, 3 * t + (t > 100) * 50, float(v)) for (r, c), x in channels.items() for t, v in enumerate(x)]
+    rates = spark.createDataFrame([("a", 10.0), ("b", 8.0)], "recording_id string, rate double")
+    done, short = zero_phase_blocks(spark.createDataFrame(rows, "recording_id string, channel_idx int, t int, v double"), rates, low, high, width=32)
+    got, left = matrices(done), matrices(short)
+    assert set(got) | set(left) == set(channels) and ("b", 1) in left and not set(got) & set(left)
+    for k, y in got.items():
+        f = (3, low, high, 10.0 if k[0] == "a" else 8.0)
+        want = sg.zero_phase(*sg.butterworth_sections(*f), channels[k], sg.cascade(*sg.butterworth_roots(*f)))
+        assert np.allclose(y, want, atol=1e-7 * np.abs(want).max())
+    assert all(np.allclose(v, channels[k]) for k, v in left.items())
