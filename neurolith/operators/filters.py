@@ -73,7 +73,7 @@ def entered(ends: DataFrame, backwards: bool, order: int, low: float | None, hig
     rows = ends.repartition(*bk.CHANNEL).sortWithinPartitions(*bk.CHANNEL, key)
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        channel, state = None, None
+        channel, state, last = None, None, (0, np.zeros(0))
         carried: dict[float, Carried] = {}
         for b in batches:
             out = []
@@ -81,9 +81,10 @@ def entered(ends: DataFrame, backwards: bool, order: int, low: float | None, hig
                 sections, _ = sections_of(order, low, high, rate)
                 if (rid, ch) != channel:
                     channel, state = (rid, ch), at_rest(sections, first)
+                else:
+                    state = carried.setdefault(rate, Carried(sections)).over(last[0]) @ state + last[1]
                 out.append((rid, ch, blk, state.tolist()))
-                way = carried.setdefault(rate, Carried(sections))
-                state = way.over(int(n)) @ state + np.asarray(rest)
+                last = int(n), np.asarray(rest)
             yield pd.DataFrame(out, columns=[*bk.BLOCK, "state"])
 
     return rows.mapInPandas(follow, "recording_id string, channel_idx int, blk bigint, state array<double>")

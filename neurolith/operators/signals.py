@@ -6,6 +6,7 @@ channel stays divided. Missing readings are left out, not filled.
 
 from __future__ import annotations
 
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -184,16 +185,24 @@ def state_space(b: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray,
     return h, o, g, np.linalg.matrix_power(step, length)
 
 
+@lru_cache(maxsize=1024)
+def _prepared(b: bytes, a: bytes, length: int) -> tuple[np.ndarray, ...]:
+    """``state_space`` of coefficients given as bytes, with the answers of a whole stretch as a matrix, and the one-step matrix."""
+    num, den = np.frombuffer(b), np.frombuffer(a)
+    h, o, g, p = state_space(num, den, length)
+    shift = np.arange(length)[:, None] - np.arange(length)[None, :]
+    n = len(den) - 1
+    return h, o, g, p, np.where(shift >= 0, h[np.maximum(shift, 0)], 0.0), np.c_[-den[1:], np.eye(n)[:, : n - 1]]
+
+
 def run_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, length: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """(output, state at the end). Stretches of ``length`` samples are filtered at once by their answers to impulses; only their
     states follow from each other."""
+    h, o, g, p, answer, step = _prepared(np.asarray(b, float).tobytes(), np.asarray(a, float).tobytes(), length)
     whole = x.size // length
     out = np.empty(x.size)
     s = np.asarray(state, float)
     if whole:
-        h, o, g, p = state_space(b, a, length)
-        shift = np.arange(length)[:, None] - np.arange(length)[None, :]
-        answer = np.where(shift >= 0, h[np.maximum(shift, 0)], 0.0)
         m = x[: whole * length].reshape(whole, length)
         ends, before = m @ g, np.empty((whole, s.size))
         for i in range(whole):
@@ -201,10 +210,10 @@ def run_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, l
             s = p @ s + ends[i]
         out[: whole * length] = (m @ answer.T + before @ o.T).ravel()
     rest = x[whole * length :]
-    if rest.size:
-        h, o, g, p = state_space(b, a, rest.size)
-        out[whole * length :] = np.convolve(rest, h)[: rest.size] + o @ s
-        s = p @ s + rest @ g
+    n = rest.size
+    if n:
+        out[whole * length :] = answer[:n, :n] @ rest + o[:n] @ s
+        s = np.linalg.matrix_power(step, n) @ s + rest @ g[length - n :]
     return out, s
 
 
