@@ -85,13 +85,14 @@ class Outcome:
     progress: DataFrame
 
 
-def run(rows: DataFrame, key: str, strategy: str | None = None, folds: int = 5, seed: int = 42) -> Outcome:
-    """Validates the classifier on rows (key, label, grp, x). Raises if fewer than two labels occur."""
-    if rows.select("label").distinct().limit(2).count() < 2:
+def run(rows: DataFrame, key: str, strategy: str | None = None, folds: int = 5, seed: int = 42, strict: bool = True) -> Outcome:
+    """Validates the classifier on rows (key, label, grp, x). Raises if fewer than two labels occur; unless ``strict``, such rows
+    are classified as they are, and no rows give empty tables."""
+    if strict and rows.select("label").distinct().limit(2).count() < 2:
         raise ExperimentError("an experiment needs at least two labels")
-    pred = pt.predictions(pt.distances(folded(rows, strategy, folds, seed, key), key), key).filter("fold <> 'train'")
-    per = pt.fold_accuracy(pred)
-    return Outcome(pred, per, pt.confusion(pred), pt.class_metrics(pred), progress(per.select("fold")))
+    split = folded(rows, strategy, folds, seed, key)
+    pred = pt.predictions(pt.distances(split, key), key).filter("fold <> 'train'")
+    return Outcome(pred, pt.fold_accuracy(pred), pt.confusion(pred), pt.class_metrics(pred), progress(split.filter("fold <> 'train'").select("fold")))
 
 
 def progress(folds: DataFrame) -> DataFrame:
