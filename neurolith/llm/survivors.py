@@ -7,17 +7,21 @@ group the records are ranked by completeness, trust and recency; every field of
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from neurolith.functions.distributed import cut_lineage
+from neurolith.functions.distributed import broadcast_if_small, cut_lineage, stored
 from neurolith.llm.splits import propagate
 
 # What stands where a value is missing, and headings that many works share.
@@ -29,14 +33,28 @@ ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii":
 TAG = re.compile(r"</?[a-zA-Z][^<>]{0,40}>")
 DOI = re.compile(r"10\.\d{4,9}/\S+")
 NO_DOI = re.compile(r"^10\.0+/0*$")
+OTHERS = re.compile(r"^(et al|and others)\b", re.I)
+HEADED = re.compile(r"^\W*(<[^>]+>\s*)?(abstract|summary)\s*[:.\-–—]\s*", re.I)
+CUT_OFF = re.compile(r"\W*\b(truncated|continued|read more|more)\W*$", re.I)
+YEAR = re.compile(r"\b(1[89]\d\d|20\d\d)\b")
+#: Of UTF-8: ASCII letters in lower case, other ASCII than letters and digits as blanks.
+PLAIN = bytes(ord(chr(c).lower()) if c > 127 or chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
 
 
 def plain(text: str) -> str:
     """Lower-case words without markup, accents and punctuation."""
-    t = TAG.sub(" ", html.unescape(text))
-    t = unicodedata.normalize("NFKD", t.replace("ß", "ss"))
+    t = html.unescape(text) if "&" in text else text
+    t = TAG.sub(" ", t) if "<" in t else t
+    if not t.isascii():
+        t = " ".join([w if w.isascii() else _folded(w) for w in t.split()])
+    return b" ".join(t.encode("utf-8", "surrogatepass").translate(PLAIN).split()).decode("utf-8", "surrogatepass")
+
+
+@lru_cache(50_000)
+def _folded(word: str) -> str:
+    t = unicodedata.normalize("NFKD", word.replace("ß", "ss"))
     t = "".join(c for c in t if not unicodedata.combining(c)).lower()
-    return " ".join(re.sub(r"[\W_]+", " ", t).split())
+    return re.sub(r"[\W_]+", " ", t)
 
 
 def clean_title(title: str | None) -> tuple[str | None, str, int, bool]:
@@ -77,7 +95,7 @@ def clean_names(authors) -> tuple[list[str], bool]:
     for a in authors if authors is not None else ():
         if a is None or a.strip().lower() in NO_VALUE:
             continue
-        if re.match(r"^(et al|and others)\b", a.strip(), re.I):
+        if OTHERS.match(a.strip()):
             cut = True
             continue
         if "," in a:
@@ -95,14 +113,16 @@ def clean_names(authors) -> tuple[list[str], bool]:
 def clean_abstract(abstract: str | None) -> str | None:
     if abstract is None or abstract.strip().lower() in NO_VALUE or NO_ABSTRACT.match(abstract.strip()):
         return None
-    text = re.sub(r"^\W*(<[^>]+>\s*)?(abstract|summary)\s*[:.\-–—]\s*", "", abstract.strip(), flags=re.I)
-    text = re.sub(r"\W*\b(truncated|continued|read more|more)\W*$", "", text, flags=re.I)  # says that the rest was cut
+    text = HEADED.sub("", abstract.strip())
+    low = text.lower()
+    if "more" in low or "truncated" in low or "continued" in low:
+        text = CUT_OFF.sub("", text)  # says that the rest was cut
     words = plain(text).split()
     return " ".join(words) if len(words) >= 5 else None
 
 
 def clean_year(year: str | None) -> int | None:
-    m = re.search(r"\b(1[89]\d\d|20\d\d)\b", year or "")
+    m = YEAR.search(year or "")
     return int(m.group()) if m else None
 
 
@@ -132,19 +152,101 @@ def keys_of(core, kind, part, names, doi, abstract) -> list[str]:
     return out
 
 
-FEATURES = "candidate_id bigint, core string, kind string, part int, cut boolean, names array<string>, names_cut boolean, year int, doi string, preprint boolean, abstract string, keys array<string>"
+TEXTS = ["core", "kind", "part", "cut", "names", "names_cut", "year", "doi", "preprint", "abstract"]
+SIGNS = {"core": (48, 72), "abstract": (13, 14, 15, 16, 20, 28, 40)}  # prefixes of titles (characters) and abstracts (words)
+FEATURES = (
+    "candidate_id bigint, core string, kind string, part int, cut boolean, names array<string>, names_cut boolean, year int, doi string, preprint boolean, abstract string, d1 bigint, d2 bigint, doi_key bigint, keys array<bigint>, opening bigint, "
+    "core_len int, core_sign bigint, " + ", ".join(f"core_{k} int" for k in SIGNS["core"]) + ", named boolean, words int, loose boolean, " + ", ".join(f"words_{k} int" for k in SIGNS["abstract"])
+)
+
+
+def title_signs(cores: list[str | None]) -> list[np.ndarray]:
+    """Of each title 64 bits, each the parity of the pairs of letters that fall on it; of its prefixes in ``SIGNS`` 32 bits.
+
+    One slip changes at most four bits. Prefixes longer than the title have the title's own.
+    """
+    text = [c or "" for c in cores]
+    size = np.array([len(c) for c in text])
+    end = np.cumsum(size)
+    start = end - size
+    x = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = (x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) if len(x) else x
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(58)
+    total = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.uint64(1) << h)]) if len(x) else np.zeros(1, np.uint64)
+    last = len(total) - 1
+    at = lambda stop: total[np.clip(np.maximum(stop - 1, start), 0, last)] ^ total[np.clip(start, 0, last)]
+    half = lambda sign: (sign ^ (sign >> np.uint64(32))).astype(np.uint32).view(np.int32)
+    return [at(end).view(np.int64), *[half(at(np.minimum(end, start + k))) for k in SIGNS["core"]]]
+
+
+class _Bits(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        bit = self[word] = 1 << (zlib.crc32(word.encode("utf-8", "surrogatepass")) & 31)
+        return bit
+
+
+BITS = _Bits()
+
+
+def word_signs(words: list[str]) -> list[int]:
+    """Of the words from the thirteenth on, up to the numbers of ``SIGNS``: 32 bits, each the parity of the words that fall on it."""
+    out, sign, i = [], 0, 12
+    for k in SIGNS["abstract"]:
+        for w in words[i:k]:
+            sign ^= BITS[w]
+        out.append(sign - (1 << 32) if sign >> 31 else sign)
+        i = k
+    return out
+
+
+def is_loose(words: list[str]) -> bool:
+    """Whether a text that has the first twelve words in common with this one can agree with it when shifted."""
+    left = (len(words) - 1) // 20
+    if 11 - len(set(words[:11])) < 5 - left:  # too few words come again
+        return False
+    return any(sum(u != v for u, v in zip(words[k:11], words[: 11 - k], strict=True)) <= left for k in range(1, 7))  # the twelfth may be cut
+
+
+NO_SIGNS = [0] * len(SIGNS["abstract"])
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = FEATURE_SCHEMA
     for b in batches:
-        rows = []
-        for i, title, authors, year, abstract, doi in zip(b["candidate_id"], b["title"], b["authors"], b["year"], b["abstract"], b["doi"], strict=True):
+        rows, keys, many = [], [], []
+        for i, title, authors, year, abstract, doi in zip(*(b.column(c).to_pylist() for c in ("candidate_id", "title", "authors", "year", "abstract", "doi")), strict=True):
             core, kind, part, cut = clean_title(title)
             names, names_cut = clean_names(authors)
             d, pre = clean_doi(doi)
             abst = clean_abstract(abstract)
-            rows.append((i, core, kind, part, cut, names, names_cut, clean_year(year), d, pre, abst, keys_of(core, kind, part, names, d, abst)))
-        yield pd.DataFrame(rows, columns=["candidate_id", "core", "kind", "part", "cut", "names", "names_cut", "year", "doi", "preprint", "abstract", "keys"]).astype({"year": "Int32"})
+            record = (core, kind, part, cut, names, names_cut, clean_year(year), d, pre, abst)
+            own = keys_of(core, kind, part, names, d, abst)
+            digest = hashlib.blake2b((repr(record) if own else f"own/{i}").encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            w = abst.split() if abst else []
+            opens = len(w) >= 12
+            keys += own
+            many.append((len(own), d is not None, opens))
+            rows.append((i, *record, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), None if core is None else len(core), bool(names), len(w), opens and is_loose(w), *(word_signs(w) if opens else NO_SIGNS)))
+        if not rows:
+            continue
+        hashed = pd.util.hash_array(np.array(keys, dtype=object), categorize=False).view(np.int64).tolist() if keys else []
+        own_keys, opening, doi_key, k = [], [], [], 0
+        for n, has_doi, opens in many:  # the DOI's key is the first, that of the opening words the last
+            mine = hashed[k : k + n]
+            k += n
+            opening.append(mine.pop() if opens else None)
+            doi_key.append(mine.pop(0) if has_doi else None)
+            own_keys.append(list(dict.fromkeys(mine)))
+        named = dict(zip(ROW, zip(*rows, strict=True), strict=True)) | {"keys": own_keys, "opening": opening, "doi_key": doi_key}
+        named |= dict(zip(("core_sign", *[f"core_{k}" for k in SIGNS["core"]]), title_signs(named["core"]), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(named[f.name], f.type) for f in schema], schema=schema)
+
+
+ROW = ["candidate_id", *TEXTS, "d1", "d2", "core_len", "named", "words", "loose", *[f"words_{k}" for k in SIGNS["abstract"]]]
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<bigint>": pa.list_(pa.int64())}
+FEATURE_SCHEMA = pa.schema([(name, ARROW[kind]) for name, kind in (f.split() for f in FEATURES.split(", "))])
 
 
 def near(a: str, b: str, most: int) -> bool:
@@ -276,15 +378,19 @@ def same_work(a, b) -> bool:
 class _Row:
     __slots__ = ("abstract", "core", "cut", "doi", "kind", "names", "names_cut", "part", "preprint", "shared", "year")
 
-    def __init__(self, r: dict):
-        for k in self.__slots__:
-            setattr(self, k, r[k])
+
+def _rows(b: pa.RecordBatch, side: str) -> list[_Row]:
+    rows = []
+    for values in zip(*(b.column(f"{side}_{c}").to_pylist() for c in (*TEXTS, "shared")), strict=True):
+        r = _Row()
+        r.core, r.kind, r.part, r.cut, r.names, r.names_cut, r.year, r.doi, r.preprint, r.abstract, r.shared = values
+        rows.append(r)
+    return rows
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        xs, ys = b.column("x").to_pylist(), b.column("y").to_pylist()
-        keep = pa.array([same_work(_Row(x), _Row(y)) for x, y in zip(xs, ys, strict=True)], pa.bool_())
+        keep = pa.array([same_work(x, y) for x, y in zip(_rows(b, "x"), _rows(b, "y"), strict=True)], pa.bool_())
         yield b.select(["i", "j"]).filter(keep)
 
 
@@ -329,28 +435,95 @@ def candidate_pairs(keyed: DataFrame, most: int | None = None) -> DataFrame:
     return pairs.unionByName(more).distinct()
 
 
+TRAITS = ["part", "year", "core_len", "core_sign", *[f"core_{k}" for k in SIGNS["core"]]]
+OPENING_TRAITS = ["part", "year", "core_len", "named", "words", "loose", *[f"words_{k}" for k in SIGNS["abstract"]]]
+
+
+def _side(df: DataFrame, s: str, key: str, traits: list[str]) -> DataFrame:
+    return df.select(F.col("rep").alias(f"{s}_rep"), F.col(key).alias("key"), *[F.col(t).alias(f"{s}_{t}") for t in traits])
+
+
+def _apart(sign: str) -> Column:
+    """Bits in which the signs of both sides differ."""
+    return F.bit_count(F.col(f"x_{sign}").bitwiseXOR(F.col(f"y_{sign}")).cast("bigint").bitwiseAND(F.lit(-1 if sign == "core_sign" else 0xFFFFFFFF).cast("bigint")))
+
+
+def _beginnings_apart(least: Column, name: str, kind: str) -> Column:
+    """Bits in which the longest prefixes that both sides have differ; 0 if there is none."""
+    out = F.lit(0)
+    for k in SIGNS[kind]:
+        out = F.when(least >= k, _apart(f"{name}_{k}")).otherwise(out)
+    return out
+
+
+def _may_agree() -> Column:
+    """False only where ``same_work`` rejects by parts or years."""
+    parts = (F.col("x_part") < 0) | (F.col("y_part") < 0) | (F.col("x_part") == F.col("y_part"))
+    return parts & F.coalesce(F.abs(F.col("x_year") - F.col("y_year")) <= 2, F.lit(True))
+
+
+def _titles_may_agree() -> Column:
+    """False only where ``titles_agree`` is 0 without slips beyond the usual.
+
+    Up to three slips change at most 12 bits of a sign; two slips and what they push over the end at most 10 of a prefix's.
+    """
+    least = F.least("x_core_len", "y_core_len")
+    alike = (F.abs(F.col("x_core_len") - F.col("y_core_len")) <= 3) & (_apart("core_sign") <= 12)
+    begins = (least >= 25) & (_beginnings_apart(least, "core", "core") <= 10)
+    return F.col("x_core_len").isNull() | F.col("y_core_len").isNull() | alike | begins
+
+
+def _abstracts_may_agree() -> Column:
+    """False only where records with twelve opening words in common, one of them without a title, are rejected by abstracts.
+
+    Of the shorter abstract's words (less the last) one in twenty may differ, which changes two bits each; a shift of up to
+    six words, which only ``loose`` texts allow, changes twelve. Fewer than ``OWN_WORDS`` words need names.
+    """
+    least = F.least("x_words", "y_words") - 1
+    bits = 2 * F.floor(least / 20) + F.when(F.col("x_loose"), 12).otherwise(0)
+    return ((least >= OWN_WORDS) | (F.col("x_named") & F.col("y_named"))) & (_beginnings_apart(least, "words", "abstract") <= bits)
+
+
+def likely_pairs(reps: DataFrame) -> DataFrame:
+    """(i, j), i < j: all pairs that share a key (``candidate_pairs``), less those that ``same_work`` is sure to reject.
+
+    reps: (rep, doi_key, keys, opening) and the traits. Every key is paired as a whole. What rejects a pair are numbers beside its
+    key, so that neither texts nor rejected pairs are moved; pairs of one DOI, whose titles may differ more, are all kept.
+    """
+    keyed = reps.select("rep", *TRAITS, F.explode("keys").alias("key"))
+    alike = _side(keyed, "x", "key", TRAITS).join(_side(keyed, "y", "key", TRAITS), "key").filter("x_rep < y_rep").filter(_may_agree() & _titles_may_agree())
+    doi = reps.filter("doi_key is not null")
+    named = _side(doi, "x", "doi_key", ["part", "year"]).join(_side(doi, "y", "doi_key", ["part", "year"]), "key").filter("x_rep < y_rep").filter(_may_agree())
+    opens = reps.filter("opening is not null")
+    x, y = _side(opens.filter("core_len is null"), "x", "opening", OPENING_TRAITS), _side(opens, "y", "opening", OPENING_TRAITS)
+    bare = x.join(y, "key").filter("x_rep < y_rep or x_rep > y_rep and y_core_len is not null").filter(_may_agree() & _abstracts_may_agree())
+    pairs = [p.select(F.least("x_rep", "y_rep").alias("i"), F.greatest("x_rep", "y_rep").alias("j")) for p in (alike, named, bare)]
+    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
+
+
 def work_groups(candidates: DataFrame) -> DataFrame:
     """(candidate_id, work_id): the smallest candidate_id of the records of the same work. Null ids are left out.
 
     Records without any usable field are works of their own. Repeated rows with one id count once.
     """
-    c = candidates.filter("candidate_id is not null").select("candidate_id", "title", "authors", "year", "abstract", "doi").dropDuplicates(["candidate_id"])
-    f = c.mapInPandas(_features, FEATURES)
-    same = ["core", "kind", "part", "cut", "names", "names_cut", "year", "doi", "preprint", "abstract"]
-    digest = F.when(F.size("keys") > 0, F.sha2(F.to_json(F.struct(*same), {"ignoreNullFields": "false"}), 256)).otherwise(F.concat(F.lit("own/"), F.col("candidate_id").cast("string")))
-    f = cut_lineage(f.withColumn("digest", digest))
-    shared = volumes(f.filter("doi is not null and core is not null").select("doi", "core")).select("doi", F.lit(True).alias("volume"))
-    f = f.join(shared, "doi", "left").withColumn("shared", F.coalesce("volume", F.col("doi").contains("/proc."), F.lit(False)))
-    reps = f.groupBy("digest").agg(F.min("candidate_id").alias("rep"), F.first("keys").alias("keys"), F.first(F.struct(*same, "shared")).alias("x"))
-    reps = cut_lineage(reps)
-    pairs = candidate_pairs(reps.select("rep", F.col("x.core").isNull().alias("bare"), F.explode(F.array_distinct("keys")).alias("key")))
-    full = pairs.join(reps.select(F.col("rep").alias("i"), "x"), "i").join(reps.select(F.col("rep").alias("j"), F.col("x").alias("y")), "j")
-    links = full.select("i", "j", "x", "y").mapInArrow(_verify, "i bigint, j bigint")
-    node = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
-    edges = links.select(F.explode(F.array(node("i"), node("j"))).alias("record"), F.concat_ws("|", node("i"), node("j")).alias("entity"))
-    labels = propagate(edges).select(F.col("record").cast("bigint").alias("rep"), F.col("label").cast("bigint").alias("work_id"))
-    members = f.select("candidate_id", "digest").join(reps.select("digest", "rep"), "digest").join(labels, "rep", "left")
-    return members.select("candidate_id", F.coalesce("work_id", "rep").alias("work_id"))
+    c = candidates.filter("candidate_id is not null").select("candidate_id", "title", "authors", "year", "abstract", "doi")
+    f = stored(c.mapInArrow(_features, FEATURES))
+    digest = ["d1", "d2"]
+    members = cut_lineage(f.groupBy("candidate_id").agg(F.min(F.struct(*digest)).alias("d")).select("candidate_id", "d.*"))
+    if members.count() < f.count():  # rows with one id: one of them
+        f = stored(f.join(members, ["candidate_id", *digest], "leftsemi").dropDuplicates(["candidate_id"]))
+    own = cut_lineage(members.join(members.groupBy(*digest).agg(F.min("candidate_id").alias("rep")), digest).select("candidate_id", "rep"))
+    volume = broadcast_if_small(volumes(f.filter("doi is not null and core is not null").select("doi", "core")).select("doi", F.lit(True).alias("volume")))
+    again = broadcast_if_small(own.filter("candidate_id <> rep").select("candidate_id"))
+    reps = f.join(again, "candidate_id", "leftanti").withColumnRenamed("candidate_id", "rep")
+    pairs = cut_lineage(likely_pairs(reps.select("rep", "doi_key", "keys", "opening", *dict.fromkeys([*TRAITS, *OPENING_TRAITS]))))
+    texts = f.select("candidate_id", *TEXTS).join(volume, "doi", "left").withColumn("shared", F.coalesce("volume", F.col("doi").contains("/proc."), F.lit(False)))
+    side = lambda s, k: texts.select(F.col("candidate_id").alias(k), *[F.col(t).alias(f"{s}_{t}") for t in (*TEXTS, "shared")])
+    links = pairs.join(side("x", "i"), "i").join(side("y", "j"), "j").mapInArrow(_verify, "i bigint, j bigint")
+    # of each record the links to later ones are one entity
+    edges = cut_lineage(links).select(F.col("i").alias("entity"), F.explode(F.array("i", "j")).alias("record")).distinct()
+    labels = propagate(edges).select(F.col("record").alias("rep"), F.col("label").alias("work_id"))
+    return own.join(labels, "rep", "left").select("candidate_id", F.coalesce("work_id", "rep").alias("work_id"))
 
 
 def same_work_pairs(candidates: DataFrame) -> DataFrame:

@@ -104,3 +104,31 @@ def test_no_link_depends_on_how_many_share_a_key(spark):
     rows += [(900, None, None, None, None, "direct_url", "10.1111/hot", AT), (901, slipped, ["A. Hol"], "2020", None, "open_index", "10.1111/hot", AT)]
     got = {r.candidate_id: r.work_id for r in sv.work_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert set(got.values()) == {0} and len(got) == 452
+
+
+def test_pairs_are_rejected_beside_their_keys_and_no_link_is_lost(spark):
+    """Many unlike works share the words of a key or an opening sentence: their texts are not compared, all links stay."""
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "xz"]
+    some = lambda i, n: " ".join(words[(i * 7 + k * (i % 11 + 1)) % len(words)] for k in range(n))
+    stock = "In the naive split windows of one person appeared on both sides which"
+    title = "Adaptive gating of baseline stability in amateur dancers: "
+    rows = [(i, title + some(i, 6), [f"A. {words[i]}um"], "2020", f"{stock} {some(i + 5, 30)}", "open_index", None, AT) for i in range(100)]
+    rows += [(200 + i, (title + some(i, 6)).replace("stability", "stabiltiy").upper(), None, "2021", None, "open_index", None, AT) for i in range(0, 100, 4)]
+    rows += [(300 + i, (title + some(i, 6))[:80] + "…", [f"{words[i]}um, Ann"], "2020", None, "open_index", None, AT) for i in range(0, 100, 5)]
+    rows += [(400 + i, None, None, None, f"{stock} {some(i + 5, 20)} [truncated]", "direct_url", None, AT) for i in range(0, 100, 3)]
+    rows += [(600, None, None, None, "Run one two one two one two one two one two one two one two one two one two one two three", "direct_url", None, AT)]
+    rows += [(601, None, None, None, "one two one two one two one two one two one two one two one two one two one two three", "direct_url", None, AT)]
+    records = list(next(sv._features(iter(spark.createDataFrame(rows, SCHEMA).toArrow().combine_chunks().to_batches()))).to_pylist())
+    f = spark.createDataFrame([tuple(r.values()) for r in records], sv.FEATURES).withColumnRenamed("candidate_id", "rep")
+    likely = {tuple(r) for r in sv.likely_pairs(f).collect()}
+    keyed = [(r["candidate_id"], r["core"] is None, k) for r in records for k in set(sv.keys_of(r["core"], r["kind"], r["part"], r["names"], r["doi"], r["abstract"]))]
+    shared = {tuple(r) for r in sv.candidate_pairs(spark.createDataFrame(keyed, "rep bigint, bare boolean, key string")).collect()}
+    by_id = {}
+    for r in records:
+        x = by_id[r["candidate_id"]] = sv._Row()
+        x.shared = False
+        for c in sv.TEXTS:
+            setattr(x, c, r[c])
+    linked = {(i, j) for i, j in shared if sv.same_work(by_id[i], by_id[j])}
+    assert linked <= likely <= shared
+    assert len(linked) > 50 and 2 * len(likely) < len(shared)
